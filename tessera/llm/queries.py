@@ -5,7 +5,39 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import fold, read
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import identify, train
+
+    docs = read(spark, sf_dir, "documents")
+    held_out = (fold(F.col("doc_id")) == 0).alias("held_out")
+    return identify(docs.select("doc_id", "text", held_out), train(docs, usable=fold(F.col("doc_id")) != 0), keep_text=False)
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import round_trip
+
+    return round_trip(spark, read(spark, sf_dir, "pages"))
+
+
+OP5_SQL = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+d AS (SELECT page_id, CAST(octet_length(b) AS BIGINT) AS payload_bytes, sha256(b) AS payload_digest FROM p),
+f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS first FROM d)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN first <> page_id THEN first END AS refers_to
+FROM f
+"""
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import score, train
+
+    docs = read(spark, sf_dir, "documents")
+    model = train(docs, read(spark, sf_dir, "labels"), usable=fold(F.col("doc_id")) != 0)
+    return score(docs.select("doc_id", "text", (fold(F.col("doc_id")) == 0).alias("held_out")), model, keep_text=False)
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,4 +11,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_mixing": q.OP8_SQL}
+    return {"op5_warc": q.OP5_SQL, "op8_mixing": q.OP8_SQL}
