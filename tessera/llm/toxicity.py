@@ -1,7 +1,8 @@
 """Toxicity: FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
 A document's features are the distinct 32-bit hashes of its words (A-Z lower-cased, without the ASCII punctuation at
-their ends), its pairs of neighbours and its pairs with one or two words between. Training follows the published
+their ends), of the stems of longer words (their first ``STEMS`` bytes, so that inflected forms share a feature), of its pairs of
+neighbours and of its pairs with one or two words between. Training follows the published
 FTRL-proximal update (per-coordinate rates, L1 and L2) over a bounded sample: about ``SAMPLE`` labelled documents of
 either label, chosen by a hash of the id; whole texts, hashed on the executors. Features of fewer than ``LEAST`` sampled
 documents are left out. The L1 term leaves few weights that aren't zero; they are sorted by hash and broadcast with the
@@ -26,7 +27,8 @@ from .common import _FOLD, SLICE, SpanHash, doc_slices, mix, text_buffers, words
 SAMPLE = 6000
 LEAST = 3
 SKIPS = (1, 2, 3)
-ALPHA, BETA, L1, L2 = 0.15, 1.0, 1.5, 1.0
+STEMS = (5, 6, 7)
+ALPHA, BETA, L1, L2 = 0.5, 1.0, 5.0, 1.0
 EPOCHS = 4
 
 _PUNCTUATION = np.zeros(256, bool)
@@ -48,9 +50,14 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     for _ in range(2):  # a word of punctuation alone stays as it is
         starts = starts + (_PUNCTUATION[data[starts]] & (ends - starts > 1))
         ends = ends - (_PUNCTUATION[data[ends - 1]] & (ends - starts > 1))
-    h = SpanHash(data)(starts, ends)
+    span = SpanHash(data)
+    h = span(starts, ends)
     row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
     found, rows = [h], [row]
+    for size in STEMS:
+        longer = ends - starts > size
+        found.append(mix(span(starts[longer], starts[longer] + size) + np.uint64(size)))
+        rows.append(row[longer])
     for gap, salt in zip(SKIPS, _SEPARATE, strict=True):
         same = row[gap:] == row[:-gap]
         found.append(mix(h[:-gap][same] * salt + h[gap:][same]))
