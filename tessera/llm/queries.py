@@ -16,6 +16,12 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs.select("doc_id", "text", held_out), train(docs, usable=fold(F.col("doc_id")) != 0), keep_text=False)
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack
+
+    return pack(read(spark, sf_dir, "documents"))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import round_trip
 
@@ -71,3 +77,9 @@ SELECT doc_id, size, s AS source_size, target,
        + greatest(0, least(size, whole - (2 * s + e - size))) AS taken
 FROM ends
 """
+
+
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fingerprints import compare_with_edited
+
+    return compare_with_edited(read(spark, sf_dir, "documents"))
