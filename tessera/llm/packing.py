@@ -212,12 +212,14 @@ def plan(lengths: np.ndarray, used: list[tuple[np.ndarray, int]]) -> list[tuple[
 
 def ranked(rows: DataFrame, value: str, name: str, key: list[str]) -> DataFrame:
     """Rows with ``name``: a rank from 0 within equal ``value``, by ranges of a hash of ``key`` that are counted first."""
+    names = rows.columns
     rows = rows.withColumn("_range", F.pmod(F.xxhash64(*key), F.lit(4096)).cast("int"))
     sums = rows.groupBy(value, "_range").count()
     before = Window.partitionBy(value).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(value, "_range", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))
     inside = Window.partitionBy(value, "_range").orderBy(*key)
-    return rows.join(sums, [value, "_range"]).withColumn(name, F.col("_before") + F.row_number().over(inside) - 1).drop("_range", "_before")
+    rows = rows.join(sums, [value, "_range"])
+    return rows.select(*names, (F.col("_before") + F.row_number().over(inside) - 1).alias(name))
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, end: int = END, keep_ids: bool = False) -> DataFrame:

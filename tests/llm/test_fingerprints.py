@@ -7,6 +7,11 @@ from tessera.llm import fingerprints as P
 from tessera.llm.queries import op9_fingerprints
 
 
+def one(text):
+    h = P.PrefixHash(P.code_points(text))
+    return P.fingerprint(h, P.span_hashes(h))
+
+
 def expect(rows):
     rows = sorted(((a, b or "") for a, b in rows), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
     out = []
@@ -39,7 +44,7 @@ def test_query(spark, sf_dir):
     prints = {}
     for r in got:
         assert prints.setdefault(r.fingerprint, texts[r.doc_id] or "") == (texts[r.doc_id] or "")
-        assert r.edited_fingerprint == P.fingerprint(h := P.PrefixHash(P.code_points(want[r.doc_id][6])), P.span_hashes(h))
+        assert r.edited_fingerprint == one(want[r.doc_id][6])
     assert len(by) == len(docs)
 
 
@@ -68,7 +73,6 @@ def test_spans_and_extensions(x, y, i, j, size):
 
 
 def test_likeness():
-    one = lambda t: P.fingerprint(h := P.PrefixHash(P.code_points(t)), P.span_hashes(h))
     words = " ".join(str(i * i) for i in range(900))
     other = " ".join(str(i * i * 7 + 1) for i in range(900))
     assert P.likeness(one(words), one(words)) == 1
