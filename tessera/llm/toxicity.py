@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import _FOLD, SLICE, SpanHash, doc_slices, mix, text_buffers, words
 
-SAMPLE = 6000
+SAMPLE = 4000
 LEAST = 3
 SKIPS = (1, 2, 3)
 STEMS = (5, 6, 7)
@@ -101,10 +101,17 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str =
 
 def fit(f: np.ndarray, ends: np.ndarray, y: np.ndarray) -> Model:
     """FTRL-proximal over rows in order: f[ends[i]:ends[i+1]] are the distinct features of row i."""
-    names, column, counts = np.unique(f, return_inverse=True, return_counts=True)
-    often = counts >= min(LEAST, len(y))
-    place = np.cumsum(often) - 1
-    names = names[often]
+    # Rare features go by an upper bound of their counts first, so that the exact step holds few of the sample's hashes.
+    least = min(LEAST, len(y))
+    rough = np.zeros(1 << 22, np.int32)
+    for part in np.array_split(f, 1 + len(f) // (1 << 20)):
+        rough += np.bincount(part & np.uint32(len(rough) - 1), minlength=len(rough)).astype(np.int32)
+    kept = np.concatenate([np.zeros(0, bool), *[rough[part & np.uint32(len(rough) - 1)] >= least for part in np.array_split(f, 1 + len(f) // (1 << 20))]])
+    ends = np.concatenate([[0], np.cumsum(kept)])[ends]
+    f = f[kept]
+    del rough, kept
+    names, counts = np.unique(f, return_counts=True)
+    names = names[counts >= least]
     z, n = np.zeros(len(names) + 1), np.zeros(len(names) + 1)  # the last is the bias, without L1
     l1 = np.full(len(names) + 1, L1)
     l1[-1] = 0
@@ -115,8 +122,10 @@ def fit(f: np.ndarray, ends: np.ndarray, y: np.ndarray) -> Model:
 
     rows = []
     for i in range(len(y)):
-        own = column[ends[i] : ends[i + 1]]
-        rows.append(np.append(place[own[often[own]]], len(names)))
+        own = f[ends[i] : ends[i + 1]]
+        at = np.minimum(np.searchsorted(names, own), max(0, len(names) - 1))
+        rows.append(np.append(at[names[at] == own] if len(names) else at[:0], len(names)).astype(np.int32))
+    del f
     for _ in range(EPOCHS):
         for at, mark in zip(rows, y, strict=True):
             w = weights(at)
