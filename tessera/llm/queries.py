@@ -89,3 +89,9 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .fingerprints import compare_with_edited
 
     return compare_with_edited(read(spark, sf_dir, "documents"))
+
+
+def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substrings import repeated
+
+    return repeated(read(spark, sf_dir, "documents"))
