@@ -22,6 +22,14 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read(spark, sf_dir, "documents"))
 
 
+def op4_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .classlm import score, train
+
+    docs = read(spark, sf_dir, "documents")
+    model, counts = train(docs.where(fold(F.col("doc_id")) != 1))
+    return score(docs, model, counts, keep=[(fold(F.col("doc_id")) == 1).alias("held_out")])
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import round_trip
 
