@@ -26,7 +26,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import _FOLD, SpanHash, cut, doc_slices, mix, text_buffers, words
@@ -301,6 +301,18 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.8, perc
 
 
 def deduplicated(docs: DataFrame, size: int = 5, threshold: float = 0.8) -> DataFrame:
-    """The rows of ``docs`` that are kept: of each component the row with its id (one, if rows repeat)."""
+    """The rows of ``docs`` that are kept: one of each component, that of its id. Rows without id are all kept.
+
+    Of several rows with a kept id, that with the first text by code points stays.
+    """
+    names = docs.columns
     gone = near_duplicates(docs, size, threshold).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    stay = docs.join(gone, "doc_id", "left_anti").select(*names)
+    again = cut(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1").select("doc_id"))
+    if again.isEmpty():
+        return stay
+    single = stay.join(again, "doc_id", "left_anti").select(*names)
+    first = Window.partitionBy("doc_id").orderBy(F.asc_nulls_last("text"))
+    several = stay.join(again, "doc_id", "left_semi").select(F.struct(*names).alias("row"), "doc_id", "text")
+    several = several.withColumn("n", F.row_number().over(first)).where("n = 1").select("row.*").select(*names)
+    return single.union(several)

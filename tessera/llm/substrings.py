@@ -384,3 +384,52 @@ def repeated(docs: DataFrame, length: int = LENGTH, **options) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], [x.split()[0] for x in RESULT.split(", ")])
 
     return rows.mapInArrow(run, RESULT)
+
+
+def without_repeats(docs: DataFrame, length: int = LENGTH, **options) -> DataFrame:
+    """The rows of ``docs`` without the repeated passages of their texts, and n_chars counted anew where a text changed.
+
+    What a cut leaves of a character's bytes goes too. Rows of which only white space is left by cuts go; others stay.
+    """
+    names = docs.columns
+    rest = [c for c in names if c != "text"]
+    from pyspark.sql.types import BinaryType, LongType, StructField, StructType
+
+    source = docs.select(F.struct(*rest).alias("row") if rest else F.struct(F.lit(0).alias("_")).alias("row"), F.col("text"))
+    row_type = source.schema["row"]
+    packed_type = StructType([row_type, StructField("t1", LongType()), StructField("t2", LongType()), StructField("z", BinaryType())])
+
+    def pack(batches):
+        import zstandard
+
+        c = zstandard.ZstdCompressor(level=3)
+        for b in batches:
+            column = b.column("text")
+            data, offsets = text_buffers(column)
+            texts = [data[a:z].tobytes() for a, z in zip(offsets[:-1], offsets[1:], strict=True)]
+            t = np.array([np.frombuffer(hashlib.md5(x).digest(), "<i8") for x in texts]).reshape(-1, 2)
+            z = [c.compress(x) if ok else None for x, ok in zip(texts, column.is_valid().to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(np.ascontiguousarray(t[:, 0])), pa.array(np.ascontiguousarray(t[:, 1])), pa.array(z, pa.binary())], ["row", "t1", "t2", "z"])
+
+    joined = source.mapInArrow(pack, packed_type).join(repeated_spans(docs, length, **options), ["t1", "t2"], "left").select("row", "z", "spans")
+    out_type = StructType([row_type, docs.schema["text"], StructField("cut", LongType())])
+
+    def unpack(batches):
+        import zstandard
+
+        d = zstandard.ZstdDecompressor()
+        for b in batches:
+            texts, cuts = [], []
+            for z, spans in zip(b.column("z").to_pylist(), b.column("spans").to_pylist(), strict=True):
+                text = d.decompress(z) if z is not None else None
+                gone = merged([(s["lo"], s["hi"]) for s in spans or ()])
+                left = kept(text, gone).decode("utf-8", "ignore") if text is not None else None
+                texts.append(left)
+                cuts.append(-1 if gone and not left.strip(" \t\n\v\f\r") else sum(hi - lo for lo, hi in gone))
+            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(texts, pa.string()), pa.array(cuts, pa.int64())], ["row", "text", "cut"])
+
+    rows = joined.mapInArrow(unpack, out_type).where("cut >= 0")
+    column = {c: F.col("row")[c] for c in rest} | {"text": F.col("text")}
+    if "n_chars" in column:
+        column["n_chars"] = F.when(F.col("cut") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(column["n_chars"])
+    return rows.select(*[column[c].alias(c) for c in names])
