@@ -99,7 +99,7 @@ def excerpt_span(text: str | None, excerpt: str | None) -> dict | None:
     return None
 
 
-@F.pandas_udf(t.StructType().add("start", "int").add("end", "int").add("mode", "string"))
+@F.pandas_udf(t.StructType().add("start", "integer").add("end", "integer").add("mode", "string"))
 def find_excerpt(text: pd.Series, excerpt: pd.Series) -> pd.DataFrame:
     rows = [excerpt_span(x, e) or {"start": None, "end": None, "mode": None} for x, e in zip(text, excerpt, strict=True)]
     out = pd.DataFrame(rows, columns=["start", "end", "mode"])

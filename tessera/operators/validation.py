@@ -66,22 +66,23 @@ def excerpt_present(locators: DataFrame, texts: DataFrame, key: str, excerpt: st
     return rows.withColumn("found", F.coalesce(found, F.lit(False))).drop("_text")
 
 
-def containing(excerpts: DataFrame, texts: DataFrame, item: str, excerpt: str, key: str, text: str, gram: int = 24) -> DataFrame:
+def containing(excerpts: DataFrame, texts: DataFrame, item: str, excerpt: str, key: str, text: str, gram: int = 4) -> DataFrame:
     """(item, key, start): every text that contains a quote literally, and the first place where (code points, from 0).
 
-    Not every quote meets every text: a quote's first ``gram`` characters are looked up among the strings of that length
-    at all places of the texts, cut at places where a rolling choice of both sides agrees. Here the choice is the word
-    starts: the gram begins at the first word start of the quote, and texts are listed at their word starts.
+    Not every quote meets every text. A quote's first and last words may be parts of words; the ``gram`` words behind the
+    first are whole words of any text with the quote, so texts are looked up by their runs of ``gram`` words, and what is
+    found is compared literally. Only quotes with fewer words meet all texts.
     """
-    lead = F.regexp_extract(F.col(excerpt), r"^\S*\s+", 0)
-    asked = excerpts.where(F.col(excerpt).isNotNull()).select(item, F.col(excerpt).alias("_e"), F.length(lead).alias("_skip"))
-    asked = asked.withColumn("_gram", F.expr(f"substring(_e, _skip + 1, {gram})"))
-    long, short = asked.where((F.length("_gram") == gram) & ~F.col("_gram").rlike(r"^\s")), asked.where((F.length("_gram") < gram) | F.col("_gram").rlike(r"^\s"))
+    words = lambda c: F.regexp_extract_all(c, F.lit(r"\S+"), F.lit(0))
+    asked = excerpts.where(F.col(excerpt).isNotNull()).select(item, F.col(excerpt).alias("_e"), words(F.col(excerpt)).alias("_w"))
+    long, short = asked.where(F.size("_w") >= gram + 2), asked.where(F.size("_w") < gram + 2)
+    long = long.select(item, "_e", F.array_join(F.slice("_w", 2, gram), " ").alias("_gram"))
     own = texts.select(key, F.col(text).alias("_t"))
-    places = F.filter(F.sequence(F.lit(1), F.greatest(F.length("_t") - gram + 1, F.lit(1))), lambda i: (F.length("_t") >= gram) & ((i == 1) | F.substring("_t", i - 1, F.lit(1)).rlike(r"\s")))
-    grams = own.select(key, "_t", F.explode(F.array_distinct(F.transform(places, lambda i: F.substring("_t", i, F.lit(gram))))).alias("_gram"))
-    hits = grams.join(long, "_gram").where(F.contains("_t", F.col("_e")))
-    few = own.join(short, F.contains(F.col("_t"), F.col("_e")))  # quotes too short for a gram; a nested loop over these only
+    listed = own.withColumn("_w", words(F.col("_t"))).where(F.size("_w") >= gram)
+    runs = F.transform(F.sequence(F.lit(1), F.size("_w") - (gram - 1)), lambda i: F.array_join(F.slice("_w", i, gram), " "))
+    found = listed.select(key, F.explode(F.array_distinct(runs)).alias("_gram")).join(long, "_gram").select(key, item, "_e")
+    hits = found.join(own, key).where(F.contains("_t", F.col("_e")))
+    few = own.join(short, F.contains(F.col("_t"), F.col("_e")))
     pick = [F.col(item), F.col(key), (F.instr("_t", F.col("_e")) - 1).cast("long").alias("start")]
     return hits.select(*pick).union(few.select(*pick)).distinct()
 
@@ -116,8 +117,8 @@ def resolve_locators(locators: DataFrame, units: DataFrame, texts: DataFrame) ->
     start = F.coalesce(F.col("_own.start") + F.col("_a"), F.col("_any.start"))
     end = F.coalesce(F.col("_own.end") + F.col("_a"), F.col("_any.end"))
     rows = rows.withColumns({"char_start": start.cast("int"), "char_end": end.cast("int")})
-    moved = units.select("paper_id", F.col("unit_id").alias("_new"), F.col("char_start").alias("_s"), F.col("char_end").alias("_e"))
-    rows = rows.join(moved, (rows.paper_id == moved.paper_id) & (F.col("char_start") >= F.col("_s")) & (F.col("char_start") < F.col("_e")), "left").drop(moved.paper_id)
+    moved = units.select(F.col("paper_id").alias("_p"), F.col("unit_id").alias("_new"), F.col("char_start").alias("_s"), F.col("char_end").alias("_e"))
+    rows = rows.join(moved, (F.col("paper_id") == F.col("_p")) & (F.col("char_start") >= F.col("_s")) & (F.col("char_start") < F.col("_e")), "left")
     warning = F.array_compact(F.array(F.when(F.col("char_start").isNull(), "excerpt not found"), F.when(F.col("_own.start").isNull() & F.col("char_start").isNotNull(), "unit corrected")))
     confidence = F.when(F.col("char_start").isNull(), F.least(F.coalesce("confidence", F.lit(0.3)), F.lit(0.3))).otherwise(F.coalesce("confidence", F.lit(0.8)))
     kept = [c for c in locators.columns if c not in ("unit_id", "confidence", "char_start", "char_end")]

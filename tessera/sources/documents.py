@@ -32,7 +32,9 @@ def scan(spark: SparkSession, root: str, ignore: list[str] | None = None, most_m
 
     Names that match an ignore glob, and folders that begin with a dot, are left out.
     """
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length", "content")
+    if empty := _empty_files(spark, root):  # Spark's readers skip them
+        rows = rows.union(spark.createDataFrame([(p, 0, bytearray()) for p in empty], "path string, length long, content binary"))
     base = F.regexp_replace(F.col("path"), r"^.*?" + re.escape(root.rstrip("/").removeprefix("file://")) + "/", "")
     rows = rows.select(base.alias("path"), F.col("length").alias("size_bytes"), "content").where(~F.col("path").rlike(r"(^|/)\.[^/]*/"))
     for glob in ignore or []:
@@ -47,6 +49,16 @@ def scan(spark: SparkSession, root: str, ignore: list[str] | None = None, most_m
     return rows.select("path", "size_bytes", F.sha2("content", 256).alias("content_sha256"), ext.alias("ext"), category.alias("category"), reason.alias("reason"), "content")
 
 
+def _empty_files(spark: SparkSession, root: str) -> list[str]:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    found, out = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(path, True), []
+    while found.hasNext():
+        status = found.next()
+        if status.getLen() == 0:
+            out.append(status.getPath().toString())
+    return out
+
+
 def front_matter(text: str) -> tuple[dict, str]:
     """The YAML mapping at a text's head, if there is a valid one, and what follows."""
     m = re.match(r"---\n(.*?)\n---\s*\n?", text, re.S)
@@ -191,7 +203,7 @@ def read_documents(files: DataFrame) -> DataFrame:
     return own.mapInPandas(run, PARSED)
 
 
-@F.pandas_udf(t.ArrayType(t.StructType().add("name", "string").add("size", "bigint")))
+@F.pandas_udf(t.ArrayType(t.StructType().add("name", "string").add("size", "long")))
 def _listed(content: pd.Series) -> pd.Series:
     def names(c):
         try:

@@ -96,7 +96,7 @@ def parse(html: str) -> tuple[list[dict], dict[str, str]]:
     return reader.blocks, reader.meta
 
 
-_BLOCK = t.StructType().add("order", "int").add("text", "string").add("style_hint", "string").add("n_lines", "int").add("anchor", "string")
+_BLOCK = t.StructType().add("order", "integer").add("text", "string").add("style_hint", "string").add("n_lines", "integer").add("anchor", "string")
 PARSED = t.StructType().add("blocks", t.ArrayType(_BLOCK)).add("meta", t.MapType(t.StringType(), t.StringType()))
 
 

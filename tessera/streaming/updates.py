@@ -25,7 +25,9 @@ def merge(batch: DataFrame, path: str) -> DataFrame:
     spark = batch.sparkSession
     old = manifest(spark, path)
     scanned = batch.groupBy("path").agg(F.max("content_sha256").alias("content_sha256"))
-    found = changes(scanned, old.where("status = 'active'")).where("change <> 'removed'")
+    # The changes are written first: they read the manifest that is replaced next.
+    replace(changes(scanned, old.where("status = 'active'")).where("change <> 'removed'"), f"{path}-changes")
+    found = spark.read.parquet(f"{path}-changes")
     moved = found.where("old_path is not null").select(F.col("old_path").alias("path")).union(found.select("path")).distinct()
     kept = old.join(moved, "path", "left_anti").unionByName(found.select("path", "content_sha256", F.lit("active").alias("status")))
     replace(kept, path)
