@@ -44,6 +44,15 @@ def tasks(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def resplit(df: DataFrame) -> DataFrame:
+    """Deal the (few) rows of an aggregation anew, before they are joined by the key they are grouped by.
+
+    Else Spark joins right where it has aggregated, all rows of a key in one task; so both sides of the join get exchanges
+    of their own, and the partition of a hot key can be split at run time.
+    """
+    return df.repartition(tasks(df.sparkSession))
+
+
 def lower_ascii(col):
     """Lower-case A-Z only."""
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, resplit
 
 MOST_ROUNDS = 60
 
@@ -26,11 +26,11 @@ def components(edges: DataFrame) -> DataFrame:
     state = _state(e)
     for _ in range(MOST_ROUNDS if state[0] else 0):
         both = e.union(e.select("b", "a"))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        least = resplit(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         # b is now smaller than a in every edge; the nodes with edges to smaller ones only keep theirs.
         large = large.where("a <> b").distinct()
-        smallest = large.groupBy("a").agg(F.min("b").alias("m"))
+        smallest = resplit(large.groupBy("a").agg(F.min("b").alias("m")))
         small = large.join(smallest, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.*")
         e = cut(small.where("a <> b").distinct())
         now = _state(e)

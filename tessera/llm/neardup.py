@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import _FOLD, SpanHash, cut, doc_slices, mix, text_buffers, words
+from .common import _FOLD, SpanHash, cut, doc_slices, mix, resplit, text_buffers, words
 from .graph import components
 
 HASHES = 128
@@ -141,7 +141,7 @@ def _blocks(members: DataFrame, group: str, weight: str, count: int = BLOCK, byt
     task for each pair of its blocks, in which only pairs between the sides (or within the one block) are looked at."""
     sizes = members.groupBy(group).agg(F.count("*").alias("_n"), F.sum(weight).alias("_w")).where("_n > 1")
     blocks = F.greatest(F.ceil(F.col("_n") / count), F.ceil(F.col("_w") / bytes_)).cast("int")
-    members = members.join(sizes.select(group, F.least(blocks, F.col("_n").cast("int")).alias("_blocks")), group)
+    members = members.join(resplit(sizes.select(group, F.least(blocks, F.col("_n").cast("int")).alias("_blocks"))), group)
     members = members.withColumn("_own", F.pmod(F.xxhash64("id", F.lit(7)), F.col("_blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
     members = members.withColumn("_other", other)
