@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE, SpanHash, cut, doc_slices, text_buffers
+from .common import SLICE, SpanHash, cut, doc_slices, resplit, text_buffers
 
 LENGTH = 400
 GRAM = 100
@@ -297,7 +297,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int | None = Non
     gram = gram or max(1, length // 4)
     every = cut(find_runs(docs, length, gram))
     often = every.groupBy("anchor").agg(F.count("*").alias("k")).where("k > 1").select("anchor")
-    members = cut(every.join(often, "anchor"))
+    members = cut(every.join(resplit(often), "anchor"))
     classes = members.groupBy("anchor", "content", "n").agg(F.count("*").alias("times"), F.min(F.struct("t1", "t2", "a")).alias("r"))
     classes = cut(classes.select("anchor", "content", "n", "times", "r.t1", "r.t2", "r.a"))
     weight = F.col("n") + length - 1
@@ -305,7 +305,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int | None = Non
     total = classes.agg(F.sum(weight)).first()[0] or 0
     shards = max(1, -(-total // shard))
     heavy = per_anchor.where(F.col("w") > hot).select("anchor", F.ceil(F.col("w") / hot).cast("int").alias("blocks"))
-    dealt = classes.join(heavy, "anchor", "left")
+    dealt = classes.join(resplit(heavy), "anchor", "left")
     block = F.pmod(F.xxhash64("content", F.lit(3)), F.col("blocks"))
     dealt = dealt.select(
         "anchor", "content", "n", "times", "t1", "t2", "a", F.col("blocks").isNotNull().alias("hot"),
