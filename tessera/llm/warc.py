@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, shared_dir
+from .common import cut, resplit, shared_dir
 
 CHUNK = 1 << 18
 LEAST_SHARED = 100
@@ -51,7 +51,7 @@ def records(pages: DataFrame, payload: Column | None = None, least: int = LEAST_
     shared = rows.where((F.col("payload_bytes") >= least) & F.col("page_id").isNotNull()).groupBy("payload_digest")
     # Only payloads that occur again; Spark broadcasts them if their measured size is small, else it joins by shuffle.
     first = shared.agg(F.min("page_id").alias("first"), F.count("*").alias("times")).where("times > 1").drop("times")
-    rows = rows.join(first, "payload_digest", "left")
+    rows = rows.join(resplit(first), "payload_digest", "left")
     refers_to = F.when(F.col("first") != F.col("page_id"), F.col("first"))
     record_type = F.when(refers_to.isNull(), "response").otherwise("revisit")
     return rows.select("page_id", "url", "payload", "payload_bytes", "payload_digest", record_type.alias("record_type"), refers_to.alias("refers_to"))
