@@ -33,10 +33,10 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
+def _keyed(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
     return docs.select(
-        F.struct("*").alias("_row"),
+        F.struct(*(carry or docs.columns)).alias("_row"),
         F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("t")).alias("_queue"),
         n_words(F.col("text")).alias("_size"),
         key.alias("_key"),
@@ -69,12 +69,12 @@ def targets(queues: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, sh
     return filled.select("_queue", "_source_size", target.alias("_target"))
 
 
-def schedule(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, share: float = 1.0) -> DataFrame:
-    """One row per document: _row (all its columns), _size, _source_size, _target, _deliveries, _taken.
+def schedule(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, share: float = 1.0, carry: list[str] | None = None) -> DataFrame:
+    """One row per document: _row (its columns, or those to carry), _size, _source_size, _target, _deliveries, _taken.
 
     _deliveries: array of (epoch, finish, words), the virtual finish time of each and how many words the mix takes of it.
     """
-    rows = _keyed(docs)
+    rows = _keyed(docs, carry)
     ranges = rows.groupBy("_queue", "_range").agg(F.sum("_size").alias("_words"))
     per_queue = targets(ranges.groupBy("_queue").agg(F.sum("_words").alias("_source_size")), weights, max_epochs, share)
     running = Window.partitionBy("_queue").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
@@ -98,7 +98,7 @@ def schedule(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, sha
 def mix(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, share: float = 1.0) -> DataFrame:
     """Per document: doc_id, size, source_size, target, taken, finish (of its first delivery; null if none), in the order
     of the mix: range-sorted by finish, what isn't taken last."""
-    rows = schedule(docs, weights, max_epochs, share)
+    rows = schedule(docs, weights, max_epochs, share, ["doc_id"])
     out = rows.select(
         F.col("_row.doc_id").alias("doc_id"), F.col("_size").alias("size"), F.col("_source_size").alias("source_size"),
         F.col("_target").alias("target"), F.col("_taken").alias("taken"), F.try_element_at("_deliveries", F.lit(1))["finish"].alias("finish"),
