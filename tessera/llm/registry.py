@@ -17,4 +17,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_warc": q.OP5_SQL, "op8_mixing": q.OP8_SQL}
+    return {"op5_warc": q.OP5_SQL, "op6_near_duplicates": q.OP6_SQL, "op8_mixing": q.OP8_SQL}

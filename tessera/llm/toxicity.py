@@ -9,7 +9,7 @@ documents are left out. The L1 term leaves few weights that aren't zero; they ar
 scoring function, which looks up every feature of every whole text, in slices of bounded size.
 
 Defined cases: null and empty texts have no features and get the score of the bias; without labelled rows all scores are
-the prior 0 and nothing is predicted; one label only gives its smoothed prior; repeated rows are scored alike; labels of
+next to 0 and nothing is predicted; one label only gives its smoothed prior; repeated rows are scored alike; labels of
 repeated ids count once (the largest); an empty table gives an empty result; other columns are ignored.
 """
 
