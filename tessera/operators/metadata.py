@@ -95,7 +95,7 @@ def _author_shaped(names: Column) -> Column:
 
 
 def authors(blocks: Column, meta: Column, title_: Column) -> Column:
-    given = F.coalesce(meta["citation_author"], meta["dc.creator"], meta["author"])
+    given = F.coalesce(meta["citation_author"], meta["dc.creator"], meta["author"], meta["authors"])
     embedded = F.when(F.length(given) < 400, split_authors(given))
     first = F.transform(F.slice(blocks, 1, 14), lambda b: T.squeezed(b["text"]))
     same = lambda t: F.substring(T.normalize_title(t), 1, 40)

@@ -119,6 +119,7 @@ def page_labels(blocks: DataFrame) -> DataFrame:
 _CAPTION = re.compile(T.CAPTION.replace("(?i)", ""), re.I)
 _NUMBERED = re.compile(T.NUMBERED)
 _MATH = frozenset(T.MATH)
+_CONTROL = re.compile(T.CONTROL)
 
 
 def _canonical(text: str, extra: frozenset[str]) -> str | None:
@@ -154,7 +155,7 @@ def heading_level(text: str, hint: str, n_lines: int, font: float | None, bold:
 
 
 def _clean(text: str, keep_lines: bool) -> str:
-    text = re.sub(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f​-‏  ﻿-]", " ", text.replace("­", ""))
+    text = _CONTROL.sub(" ", text.replace("\u00ad", ""))
     if keep_lines:
         return "\n".join(x for x in (re.sub(r"[ \t]+", " ", line).rstrip() for line in text.split("\n")) if x.strip())
     text = re.sub(r"([A-Za-z])[-‐‑]\n([a-z])", r"\1\2", text)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import context, families, graph, mining, policy, search, state, structure, validation
+from ..operators import context, expressions, families, graph, metadata, mining, policy, report, search, state, structure, validation
 from ..sources import html
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,7 +73,7 @@ def content_hash_duplicates(spark, sf_dir):
 
 
 @query(r"""
-SELECT doc_id, sha256(trim(regexp_replace(regexp_replace(regexp_replace(replace(text, chr(173), ''), '([A-Za-z])[-‐‑]\n([a-z])', '\1\2', 'g'), '\s*\n\s*', ' ', 'g'), '[ \t]+', ' ', 'g'))) AS h FROM documents""")
+SELECT doc_id, sha256(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(text, chr(173), ''), '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x{9F}\x{200B}-\x{200F}\x{2028}\x{2029}\x{FEFF}\x{E000}-\x{F8FF}]', ' ', 'g'), '([A-Za-z])[-‐‑]\n([a-z])', '\1\2', 'g'), '\s*\n\s*', ' ', 'g'), '[ \t\x{A0}]+', ' ', 'g'))) AS h FROM documents""")
 def normalized_text_hash(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2(T.normalize_block(F.col("text")), 256).alias("h"))
 
@@ -692,6 +692,123 @@ def json_props(spark, sf_dir):
     return rows.groupBy("k").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
+# ---------------------------------------------------------------------------------------------- identifiers and reports
+
+_FIRST = "string_split(text, chr(10))[1]"
+_STOPPED = "list_filter(regexp_extract_all(lower({0}), '[a-z0-9]+'), lambda w: w NOT IN (" + ", ".join(repr(w) for w in T.TITLE_STOP) + "))"
+
+
+@query(rf"""
+WITH t AS (SELECT doc_id, source, {_FIRST} AS title, sha256(text) AS h FROM documents),
+k AS (SELECT *, 'meta:' || source || '||' || array_to_string(regexp_extract_all(lower(title), '[a-z0-9]+'), ' ') || '|' || substr(h, 1, 16) AS key,
+             CASE WHEN len({_STOPPED.format('title')}) > 0 THEN {_STOPPED.format('title')} ELSE regexp_extract_all(lower(title), '[a-z0-9]+') END AS w FROM t)
+SELECT doc_id, key, source || '-nd-' || coalesce(nullif(array_to_string(w[1:3], '-'), ''), 'untitled') || '-' || substr(sha256(key), 1, 6) AS paper_id,
+       'D' || doc_id || '#c01-' || substr(sha256('D' || doc_id || '|' || array_to_string(regexp_extract_all(lower(title), '[a-z0-9]+'), ' ')), 1, 6) AS claim_id FROM k""")
+def paper_ids(spark, sf_dir):
+    none = F.lit(None).cast("string")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.substring_index("text", "\n", 1).alias("title"), F.sha2("text", 256).alias("h"))
+    key = T.identity(none, F.lit(None).cast("double"), none, none, none, F.col("source"), F.lit(None).cast("int"), F.col("title"), F.col("h"))["key"]
+    docs = docs.withColumn("key", key)
+    own = F.concat(F.lit("D"), F.col("doc_id").cast("string"))
+    return docs.select("doc_id", "key", T.paper_id(F.col("key"), F.col("source"), F.lit(None).cast("int"), F.col("title")).alias("paper_id"), T.claim_id(own, F.col("title"), F.lit(1)).alias("claim_id"))
+
+
+@query(f"WITH {_LINES}, u AS (SELECT doc_id, count(*) AS n FROM units GROUP BY doc_id), c AS (SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id) SELECT d.doc_id, coalesce(u.n, 0) AS n_units, coalesce(c.n, 0) AS n_claims FROM documents d LEFT JOIN u ON d.doc_id = u.doc_id LEFT JOIN c ON d.doc_id = c.conv_id")
+def paper_counts(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return report.per_paper(docs, structure.line_units(docs), table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id")), "doc_id")
+
+
+@query("SELECT 'documents' AS \"table\", count(*) AS n FROM documents UNION ALL SELECT 'pages', count(*) FROM pages UNION ALL SELECT 'labels', count(*) FROM labels")
+def table_counts(spark, sf_dir):
+    return report.table_counts({n: table(spark, sf_dir, n) for n in ("documents", "pages", "labels")})
+
+
+def _assembled_pages(spark, sf_dir):
+    from ..operators.build import assembled
+
+    read = html.read_html(table(spark, sf_dir, "pages"), "page_id")
+    blocks = F.transform("blocks", lambda b: F.struct(b["order"].alias("order"), b["text"].alias("text"), b["style_hint"].alias("style_hint"), b["n_lines"].alias("n_lines"), F.lit(None).cast("int").alias("line"), F.startswith(b["style_hint"], F.lit("heading")).alias("bold")))
+    return assembled(read.select(F.col("page_id").cast("string").alias("path"), F.lit("").alias("content_sha256"), blocks.alias("blocks"), "meta", F.lit(None).cast("string").alias("error")), [])
+
+
+@query()
+def role_histogram(spark, sf_dir):
+    rows = _assembled_pages(spark, sf_dir).select(F.col("path").alias("paper_id"), F.explode("blocks").alias("b")).select("paper_id", "b.role")
+    return report.role_histogram(rows)
+
+
+@query()
+def page_metadata(spark, sf_dir):
+    rows = _assembled_pages(spark, sf_dir)
+    return metadata.extract(rows.select(F.col("path").alias("paper_id"), F.col("path").alias("source_path"), "blocks", "meta", "text")).withColumn("provenance", F.to_json("provenance"))
+
+
+@query(r"""WITH o AS (SELECT item_id, d.doc_id, d.text, instr(d.text, b.text) - 1 AS a, instr(d.text, b.text) - 1 + length(b.text) AS z FROM benchmark b JOIN documents d ON contains(d.text, b.text))
+SELECT item_id, doc_id, CASE WHEN a > 160 THEN '…' ELSE '' END || substr(text, CAST(greatest(0, a - 160) + 1 AS BIGINT), CAST(least(length(text), z + 160) - greatest(0, a - 160) AS BIGINT)) || CASE WHEN z + 160 < length(text) THEN '…' ELSE '' END AS passage FROM o""")
+def passages(spark, sf_dir):
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark").select("item_id", F.length("text").alias("n"))
+    rows = excerpt_offsets(spark, sf_dir).join(items, "item_id").join(docs.select("doc_id", "text"), "doc_id")
+    return rows.select("item_id", "doc_id", report.passage(F.col("text"), F.col("start").cast("int"), (F.col("start") + F.col("n")).cast("int")).alias("passage"))
+
+
+@query("SELECT conv_id, turn, '[conv' || conv_id || ', page ' || (turn + 1) || ', ' || role || ' > talk, line ' || length(text) || ']' AS cite FROM conversations")
+def citations(spark, sf_dir):
+    cite = report.citation(F.concat(F.lit("conv"), F.col("conv_id").cast("string")), F.lit(None).cast("string"), F.col("turn"), F.array("role", F.lit("talk")), F.length("text"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", cite.alias("cite"))
+
+
+@query("SELECT doc_id FROM documents WHERE starts_with(CAST(doc_id AS VARCHAR), '1') ORDER BY CAST(doc_id AS VARCHAR) LIMIT 5")
+def claim_prefix(spark, sf_dir):
+    text = F.col("doc_id").cast("string")
+    return table(spark, sf_dir, "documents").select("doc_id").where(F.startswith(text, F.lit("1"))).orderBy(text).limit(5)
+
+
+@query("SELECT 'cites' AS relation, o_orderkey AS source, o_custkey AS target, CAST(NULL AS VARCHAR) AS basis FROM orders UNION ALL SELECT 'supplement-of', l_orderkey, l_partkey, 'title' FROM lineitem")
+def relation_union(spark, sf_dir):
+    a = table(spark, sf_dir, "orders").select(F.lit("cites").alias("relation"), F.col("o_orderkey").alias("source"), F.col("o_custkey").alias("target"))
+    b = table(spark, sf_dir, "lineitem").select(F.lit("supplement-of").alias("relation"), F.col("l_orderkey").alias("source"), F.col("l_partkey").alias("target"), F.lit("title").alias("basis"))
+    return a.unionByName(b, allowMissingColumns=True)
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'new' ELSE o_orderstatus END AS status, CAST(CASE WHEN o_orderkey % 3 = 0 THEN 2 ELSE 0 END AS INTEGER) AS n FROM orders")
+def relation_upsert(spark, sf_dir):
+    old = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderstatus").alias("status"), F.lit(0).alias("n"))
+    some = old.where("o_orderkey % 3 = 0")
+    new = some.withColumns({"status": F.lit("old"), "n": F.lit(1)}).union(some.withColumns({"status": F.lit("new"), "n": F.lit(2)}))
+    return state.upsert(old, new, "o_orderkey", "n")
+
+
+@query("""WITH s AS (SELECT conv_id, turn, text, sum(length(text) + 2) OVER (PARTITION BY conv_id ORDER BY turn) <= 600 AS fits FROM conversations)
+SELECT conv_id AS paper_id, 'claims--' || conv_id AS order_id, CAST(count(*) FILTER (fits) AS BIGINT) AS n_units, count(*) FILTER (NOT fits) > 0 AS truncated FROM s GROUP BY conv_id""")
+def work_orders(spark, sf_dir):
+    units = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("paper_id"), T.unit_id(F.col("turn") + 1).alias("unit_id"), "text")
+    orders = report.work_orders(units.select("paper_id").distinct(), units, "claims", "State the claims.", "v1", 600)
+    n = F.size(F.from_json("payload", "units array<struct<unit_id:string>>")["units"]).cast("long")
+    return orders.select("paper_id", "order_id", n.alias("n_units"), "truncated")
+
+
+@query("SELECT doc_id FROM documents WHERE len(list_intersect(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'), ['license', 'der'])) > 0 AND NOT list_contains(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'), 'mit')")
+def expression_matches(spark, sf_dir):
+    index = search.build_index(table(spark, sf_dir, "documents"), ["doc_id"], {"text": 1.0})
+    return expressions.search(index, "(license OR der) NOT mit").select("doc_id")
+
+
+@query()
+def multi_kind_search(spark, sf_dir):
+    """The best lines, claims and papers for a question, each kind by its own index and weights."""
+    docs = table(spark, sf_dir, "documents")
+    claims = table(spark, sf_dir, "conversations").select(F.concat_ws("#", "conv_id", "turn").alias("id"), F.col("text").alias("statement"), F.col("role").alias("facets"), F.lit("").alias("tags"))
+    papers = docs.select(F.col("doc_id").cast("string").alias("id"), F.substring_index("text", "\n", 1).alias("title"), F.col("source").alias("authors"), F.substring("text", 1, 8000).alias("abstract"), F.col("lang").alias("keywords"))
+    units = structure.line_units(docs).select(F.concat_ws(":", "doc_id", "ordinal").alias("id"), "text", F.lit("").alias("heading"), F.lit("").alias("section"))
+    out = None
+    for kind, rows, limit in (("units", units, 10), ("claims", claims, 10), ("papers", papers, 12)):
+        index = search.build_index(rows, ["id"], search.WEIGHTS[kind])
+        best = search.ranked(search.bm25(index, ["license", "the"]), rows.select("id"), ["id"], limit).select(F.lit(kind).alias("kind"), "id", F.round("score", 6).alias("score"))
+        out = best if out is None else out.union(best)
+    return out
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best lines of all documents for a list of phrases, with what they come from."""
     docs = table(spark, sf_dir, "documents")

@@ -33,6 +33,7 @@ def test_markdown_and_text():
     assert [(b["style_hint"], b["text"]) for b in blocks] == [("heading1", "Top"), ("paragraph", "Text one\ngoes on"), ("code_block", "```\ncode\n\nmore\n```"), ("heading2", "Under"), ("paragraph", "End")]
     blocks, _ = parse_text("MINUTES OF THE DAY\nWe met.\n\n1. Agenda\nItems, and so on.", False)
     assert [b["style_hint"] for b in blocks] == ["heading2", "paragraph", "heading2", "paragraph"]
+    assert S._clean("k-mer\u200b x\u00a0 y\ue123", False) == "k-mer x y"
     assert front_matter("---\n: bad: [\n---\nx")[0] == {}
 
 
@@ -115,7 +116,7 @@ def test_fonts_labels_and_quality(spark):
 
 
 def test_text_expressions(spark):
-    one = spark.createDataFrame([(" 2.1  Materials and Methods: ", "see Table S2. Counts", "doi:10.1000/AbC.12).", "Doe, Jane", "arXiv: 2101.12345v2", "co­op inter-\nnal\x05 text ")], "h string, c string, d string, a string, x string, t string")
+    one = spark.createDataFrame([(" 2.1  Materials and Methods: ", "see Table S2. Counts", "doi:10.1000/AbC.12).", "Doe, Jane", "arXiv: 2101.12345v2", "co\u00adop inter-\nnal\x05 k-mer\u00a0 text\ue001 ")], "h string, c string, d string, a string, x string, t string")
     r = one.select(
         T.canonical_heading(F.col("h")).alias("h"), T.is_caption(F.col("c")).alias("c"), T.caption_label(F.lit("Fig. 3: x")).alias("l"), T.normalize_doi(F.col("d")).alias("d"), T.last_name(F.col("a")).alias("a"),
         T.arxiv_id(F.col("x")).alias("x"), T.normalize_block(F.col("t")).alias("t"), T.slug(F.lit("The Art of a Long Title Indeed")).alias("s"), T.mask(F.lit("Vol. 12   Page 3")).alias("m"),
@@ -123,7 +124,7 @@ def test_text_expressions(spark):
         T.unit_id(F.lit(7)).alias("u"), T.jaccard(T.token_set(F.lit("one two three")), T.token_set(F.lit("two three four"))).alias("j"), T.looks_like_equation(F.lit("x = y + 2")).alias("e"),
     ).first()
     assert r.asDict() == {
-        "h": "materials and methods", "c": False, "l": "Fig. 3", "d": "10.1000/abc.12", "a": "doe", "x": "2101.12345v2", "t": "coop internal text", "s": "art-long-title-indeed", "m": "vol. # page #",
+        "h": "materials and methods", "c": False, "l": "Fig. 3", "d": "10.1000/abc.12", "a": "doe", "x": "2101.12345v2", "t": "coop internal k-mer text", "s": "art-long-title-indeed", "m": "vol. # page #",
         "m1": True, "m2": False, "z": "2.5 MB", "p": True, "u": "u0007", "j": 0.5, "e": True,
     }
     meta = spark.createDataFrame([("10.1/zz", 0.9, "Ann Lee", 2020, "A Study of Reads")], "doi string, c double, author string, year int, title string")
