@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import SLICE, fold, text_buffers
 
 #: Documents of each language that training and calibration take, about.
-SAMPLE = 1500
+SAMPLE = 800
 BUCKETS = 1 << 15
 NGRAMS = (2, 3, 4)
 DIM = 16
