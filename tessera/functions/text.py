@@ -25,6 +25,8 @@ ARXIV = r"(?i)arxiv[:/\s]*(\d{4}\.\d{4,5}(?:v\d+)?|[a-z\-]+/\d{7}(?:v\d+)?)"
 PMID = r"(?i)PMID[:\s]*(\d{6,9})"
 PMCID = r"(?i)(PMC\d{6,9})"
 CAPTION = r"(?i)^\s*(?:supplementary\s+)?(?:table|tab\.|figure|fig\.?|scheme|algorithm|listing|box|equation|eq\.)\s*(?:s?\d+[a-z]?|[ivxlc]+)(?:[\s.:|)]|$)"
+# Control, invisible and private-use characters: what text extraction leaves behind.
+CONTROL = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x9F\u200B-\u200F\u2028\u2029\uFEFF\uE000-\uF8FF]"
 NUMBERED = r"^(\d+(?:\.\d+){0,3})[.)]?\s+(\S.{0,110})$"
 MATH = "=+×÷≤≥≈∑∏∫∂√±→←↔∈∉⊂⊆∪∩∀∃¬∧∨αβγδεθλμνπρσςτφχψωΩΔΣΓΘΛΞΠΦΨ^_|"
 
@@ -36,12 +38,12 @@ def squeezed(text: Column) -> Column:
 def normalize_block(text: Column, keep_lines: bool = False) -> Column:
     """Text of a block as it is indexed: soft hyphens go, control and private-use characters become spaces, words split at
     a line's end are joined, white space is folded (tables and code keep their lines)."""
-    clean = F.regexp_replace(F.translate(text, "­", ""), r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x9F​-‏  ﻿-]", " ")
+    clean = F.regexp_replace(F.translate(text, "\u00ad", ""), CONTROL, " ")
     if keep_lines:
         lines = F.transform(F.split(clean, "\n"), lambda x: F.rtrim(F.regexp_replace(x, r"[ \t]+", " ")))
         return F.array_join(F.filter(lines, lambda x: F.trim(x) != ""), "\n")
     joined = F.regexp_replace(clean, r"([A-Za-z])[-‐‑]\n([a-z])", "$1$2")
-    return F.trim(F.regexp_replace(F.regexp_replace(joined, r"\s*\n\s*", " "), r"[ \t ]+", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(joined, r"\s*\n\s*", " "), r"[ \t\xA0]+", " "))
 
 
 def mask(text: Column, size: int = 90) -> Column:
@@ -181,7 +183,7 @@ def mentions(text: Column, phrase: str) -> Column:
 
 def for_match(text: Column) -> Column:
     """Text in which quotes are looked up: curly quotes, dashes, ligatures and white space folded, lower case."""
-    plain = F.translate(text, "’‘“”–—− ", "''\"\"--- ")
+    plain = F.translate(text, "\u2019\u2018\u201c\u201d\u2013\u2014\u2212\u00a0", "''\"\"--- ")
     plain = F.replace(F.replace(plain, F.lit("ﬁ"), F.lit("fi")), F.lit("ﬂ"), F.lit("fl"))
     plain = F.regexp_replace(plain, r"[\p{Cc}\p{Cf}\p{Co}&&[^\n\t\r\x0B\f]]", "")
     return F.lower(squeezed(plain))
