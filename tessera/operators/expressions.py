@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .search import B, K1, LEAST_IDF, Index
+from .search import B, K1, Index, weighed
 
 _PART = re.compile(r'\s*(?:(\()|(\))|(AND|OR|NOT)\b|NEAR\(([^)]*)\)|(?:(\w+)\s*:\s*)?(?:"([^"]*)"|([^\s()":]+?))(\s*\*)?(?=[\s()]|$))')
 NEAR = 10
@@ -142,8 +142,6 @@ def search(index: Index, text: str) -> DataFrame:
         return left.union(right).distinct() if node[0] == "or" else left.join(right, index.keys, "left_semi" if node[0] == "and" else "left_anti")
 
     frequency = hits.groupBy("phrase").agg(F.count("*").alias("df"))
-    raw = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    idf = frequency.crossJoin(F.broadcast(index.stats)).select("phrase", F.when(raw > 0, raw).otherwise(LEAST_IDF).alias("idf"), "mean_terms")  # one row of statistics
-    scored = hits.join(F.broadcast(idf), "phrase").join(matching(tree), index.keys, "left_semi").join(index.lengths, index.keys)
+    scored = hits.join(F.broadcast(weighed(index, frequency)), "phrase").join(matching(tree), index.keys, "left_semi").join(index.lengths, index.keys)
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("n_terms") / F.col("mean_terms")))
     return scored.groupBy(*index.keys).agg((-F.sum(part)).alias("score"))

@@ -72,16 +72,19 @@ def frequent_terms(docs: DataFrame, key: str, text: str, least_papers: int = LEA
 def leading_terms(scored: DataFrame, most: int = MOST_TERMS) -> DataFrame:
     """The best terms in order of score, without those that are a part of a better one: at most ``most``.
 
-    A term that is kept or dropped depends on better ones only, so the driver reads the ranking in pages until it is full.
+    A term that is kept or dropped depends on better ones only, so the driver reads the ranking's head, and more of it only
+    if that isn't enough.
     """
-    kept: list[tuple] = []
     ranked = scored.withColumn("score", F.round("score", 2)).orderBy(F.desc("score"), "term")
-    for r in ranked.toLocalIterator():
-        if not any(r.term in k[0] for k in kept):
-            kept.append((r.term, r.papers, r.n, r.score))
-            if len(kept) == most:
-                break
-    return scored.sparkSession.createDataFrame(kept, "term string, papers long, n long, score double")
+    page = 50 * most
+    while True:
+        head, kept = ranked.limit(page).collect(), []
+        for r in head:
+            if len(kept) < most and not any(r.term in k[0] for k in kept):
+                kept.append((r.term, r.papers, r.n, r.score))
+        if len(kept) == most or len(head) < page:
+            return scored.sparkSession.createDataFrame(kept, "term string, papers long, n long, score double")
+        page *= 8
 
 
 def recurring_headings(lines: DataFrame, key: str, known: list[str] | None = None, least_papers: int = LEAST_PAPERS, most: int = MOST_HEADINGS) -> DataFrame:

@@ -122,14 +122,18 @@ def phrase_hits(index: Index, phrases: list[str], pattern: str = TOKEN, stemmed:
     return begun.where("n = size").groupBy("phrase", *index.keys).agg(F.sum(weight).alias("tf"))
 
 
+def weighed(index: Index, frequency: DataFrame) -> DataFrame:
+    """(phrase, idf, mean_terms), a row for each of a question's phrases; the corpus's two numbers come by scalar subqueries."""
+    n_docs, mean = index.stats.select("n_docs").scalar(), index.stats.select("mean_terms").scalar()
+    raw = F.log((n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    return frequency.select("phrase", F.when(raw > 0, raw).otherwise(LEAST_IDF).alias("idf"), mean.alias("mean_terms"))
+
+
 def bm25(index: Index, phrases: list[str], pattern: str = TOKEN, stemmed: bool = False) -> DataFrame:
     """(keys, score): smaller is better. Repeated phrases count again; documents of any status count in the statistics."""
     hits = phrase_hits(index, phrases, pattern, stemmed)
     frequency = hits.groupBy("phrase").agg(F.count("*").alias("df"))
-    stats = F.broadcast(index.stats)  # one row
-    raw = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    idf = F.broadcast(frequency.crossJoin(stats).select("phrase", F.when(raw > 0, raw).otherwise(LEAST_IDF).alias("idf"), "mean_terms"))
-    scored = hits.join(idf, "phrase").join(index.lengths, index.keys)
+    scored = hits.join(F.broadcast(weighed(index, frequency)), "phrase").join(index.lengths, index.keys)
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("n_terms") / F.col("mean_terms")))
     return scored.groupBy(*index.keys).agg((-F.sum(part)).alias("score"))
 
@@ -233,5 +237,5 @@ def resolve(papers: DataFrame, needle: str, key: str, title: str, doi: str | Non
     loose = loose | (F.lower(F.col(doi)) == low) if doi else loose
     exact = F.col(key).cast("string") == needle
     rows = papers.where(exact | loose).select(key, exact.alias("exact"))
-    best = rows.agg(F.max("exact").alias("any_exact"))
-    return rows.crossJoin(F.broadcast(best)).where("exact or not any_exact").select(key)
+    any_exact = rows.agg(F.max("exact").alias("any_exact")).scalar()
+    return rows.where(F.col("exact") | ~any_exact).select(key)
