@@ -2,8 +2,8 @@
 
 Tokens are words (A-Z lower-cased) and one end per text. Three passes over the corpus, each over all of its rows:
 
-1. The counts of all training words (64-bit hashes), an aggregation over the cluster; the table stays there. Only the
-   ``COMMON`` most frequent words come to the driver.
+1. The counts of all training words (64-bit hashes), an aggregation over the cluster; the table stays there. At
+   most ``COMMON`` of the most frequent words come to the driver.
 2. The bigram counts of items. An item is one of the ``ITEMS`` most frequent words, or all other words with the same last
    three bytes, hashed to ``ENDINGS`` buckets: at most (ITEMS + ENDINGS + 2) squared numbers, however large the corpus is.
    The exchange algorithm moves items between ``CLASSES`` classes as long as that raises the likelihood of the class
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import _FOLD, SLICE, SpanHash, cut, doc_slices, text_buffers, words
+from .common import _FOLD, SpanHash, cut, doc_slices, text_buffers, words
 
 COMMON = 1 << 18
 ITEMS = 2048
@@ -52,7 +52,7 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     def run(batches):
         for b in batches:
             data, offsets = text_buffers(b.column(text))
-            for i, j in doc_slices(offsets, 4 * SLICE):
+            for i, j in doc_slices(offsets):
                 h, ending, _ = tokens(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 got, first, n = np.unique(h, return_index=True, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(got), pa.array(ending[first]), pa.array(n)], ["word", "ending", "n"])
@@ -99,7 +99,7 @@ def item_bigrams(docs: DataFrame, lookup: Lookup, text: str = "text") -> DataFra
     def run(batches):
         for b in batches:
             data, offsets = text_buffers(b.column(text))
-            for i, j in doc_slices(offsets, 4 * SLICE):
+            for i, j in doc_slices(offsets):
                 seq, before, _ = lookup.sequences(*tokens(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]))
                 pair, n = np.unique(before * m + seq, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(n)], ["pair", "n"])
@@ -182,14 +182,33 @@ class Model:
     v: int
 
 
+def _most_frequent(counts: DataFrame, most: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """At most ``most`` words with their endings and counts, most frequent first.
+
+    The least count comes from a histogram of counts in steps of a 16th of an octave, a thousand rows at any size; words of
+    that step and above, all of them, are read by a filter, so no task sorts or holds more than its own.
+    """
+    most = COMMON if most is None else most
+    step = F.floor(F.log2("count") * 16).cast("int")
+    total, least = 0, None
+    for r in sorted(counts.groupBy(step.alias("step")).count().collect(), reverse=True):
+        total += r[1]
+        if total > most:
+            break
+        least = r[0]
+    top = (counts.where(step >= least) if least is not None else counts.limit(0)).select("word", "ending", "count").toArrow()
+    word, ending, count = (top[c].to_numpy() for c in ("word", "ending", "count"))
+    order = np.lexsort((word, -count))
+    return word[order], ending[order], count[order]
+
+
 def train(docs: DataFrame, text: str = "text", classes: int = CLASSES) -> tuple[Model, DataFrame]:
     """The model and the table of all word counts (word, count), which scoring joins with the words that aren't common."""
     counts = cut(word_counts(docs, text))
     texts = docs.count()
     row = counts.agg(F.sum("count"), F.count("*")).first()
     n, v = (row[0] or 0) + texts, row[1] + (texts > 0)
-    top = counts.orderBy(F.desc("count"), "word").limit(COMMON).select("word", "ending", "count").toArrow()
-    word, ending, count = (top[c].to_numpy() for c in ("word", "ending", "count"))
+    word, ending, count = _most_frequent(counts)
     lookup = Lookup(np.sort(word[:ITEMS]))
     m = lookup.end + 2
     bigrams = np.zeros(m * m)
