@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import _FOLD, SpanHash, cut, doc_slices, text_buffers, words
+from .common import _FOLD, SpanHash, cut, doc_slices, text_buffers, word_pieces, words
 
 COMMON = 1 << 18
 ITEMS = 2048
@@ -39,11 +39,15 @@ OWN_SHARE = 5.0
 
 def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes and ending buckets of the words of a slice, and word offsets of the rows."""
-    data = _FOLD[data]
-    starts, ends, bounds = words(data, offsets)
-    span = SpanHash(data)
-    ending = (span(np.maximum(starts, ends - 3), ends) >> np.uint64(40)) % np.uint64(ENDINGS)
-    return span(starts, ends).view(np.int64), ending.astype(np.int32), bounds
+    hashes, endings, bounds = [], [], None
+    for piece, own in word_pieces(data, offsets):
+        starts, ends, bounds = words(piece, own)
+        span = SpanHash(_FOLD[piece])
+        hashes.append(span(starts, ends).view(np.int64))
+        endings.append(((span(np.maximum(starts, ends - 3), ends) >> np.uint64(40)) % np.uint64(ENDINGS)).astype(np.int32))
+    if len(hashes) > 1:
+        bounds = np.array([0, sum(map(len, hashes))])
+    return np.concatenate(hashes), np.concatenate(endings), bounds
 
 
 def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:

@@ -160,10 +160,34 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends, np.searchsorted(starts, offsets, "left")
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_pieces(data: np.ndarray, offsets: np.ndarray, limit: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """A slice of rows as it is; or one longer row in pieces of about ``limit`` bytes that end at the end of a word."""
+    limit = 2 * SLICE if limit is None else limit
+    if len(data) <= limit or len(offsets) != 2:
+        yield data, offsets
+        return
+    a = 0
+    while a < len(data):
+        z = min(len(data), a + limit)
+        while z < len(data):
+            space = np.flatnonzero(_IS_SPACE[data[z : z + 4096]])
+            z += int(space[0]) if len(space) else min(4096, len(data) - z)
+            if len(space):
+                break
+        yield data[a:z], np.array([0, z - a])
+        a = z
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray, limit: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words (A-Z lower-cased) of a slice of rows, and word offsets of the rows."""
-    starts, ends, bounds = words(data, offsets)
-    return SpanHash(_FOLD[data])(starts, ends), bounds
+    parts, bounds = [], None
+    for piece, own in word_pieces(data, offsets, limit):
+        starts, ends, bounds = words(piece, own)
+        parts.append(SpanHash(_FOLD[piece])(starts, ends))
+    if len(parts) == 1:
+        return parts[0], bounds
+    h = np.concatenate(parts)
+    return h, np.array([0, len(h)])
 
 
 def row_sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:

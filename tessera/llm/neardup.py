@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import _FOLD, SpanHash, cut, doc_slices, mix, resplit, text_buffers, words
+from .common import cut, doc_slices, mix, resplit, text_buffers, word_hashes
 from .graph import components
 
 HASHES = 128
@@ -70,9 +70,7 @@ def least_matches(threshold: float, alphabet: int = 256) -> tuple[int, ...]:
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text of a slice."""
-    data = _FOLD[data]
-    starts, ends, bounds = words(data, offsets)
-    h = SpanHash(data)(starts, ends)
+    h, bounds = word_hashes(data, offsets)
     n = len(h) - size + 1
     rolled = np.zeros(max(0, n), np.uint64)
     for k in range(size if n > 0 else 0):

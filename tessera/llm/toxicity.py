@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import _FOLD, SLICE, SpanHash, doc_slices, mix, text_buffers, words
+from .common import _FOLD, SLICE, SpanHash, doc_slices, mix, text_buffers, word_pieces, words
 
 SAMPLE = 4000
 LEAST = 3
@@ -45,19 +45,25 @@ class Model:
 
 def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all features of a slice of texts and the row of each; not distinct."""
-    data = _FOLD[data]
-    starts, ends, bounds = words(data, offsets)
-    for _ in range(2):  # a word of punctuation alone stays as it is
-        starts = starts + (_PUNCTUATION[data[starts]] & (ends - starts > 1))
-        ends = ends - (_PUNCTUATION[data[ends - 1]] & (ends - starts > 1))
-    span = SpanHash(data)
-    h = span(starts, ends)
+    hashes, stems, stem_rows, bounds, before = [], [], [], None, 0
+    for piece, own in word_pieces(data, offsets):
+        piece = _FOLD[piece]
+        starts, ends, bounds = words(piece, own)
+        for _ in range(2):  # a word of punctuation alone stays as it is
+            starts = starts + (_PUNCTUATION[piece[starts]] & (ends - starts > 1))
+            ends = ends - (_PUNCTUATION[piece[ends - 1]] & (ends - starts > 1))
+        span = SpanHash(piece)
+        hashes.append(span(starts, ends))
+        own_row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+        for size in STEMS:
+            longer = ends - starts > size
+            stems.append(mix(span(starts[longer], starts[longer] + size) + np.uint64(size)))
+            stem_rows.append(own_row[longer])
+        before += 1
+    h = np.concatenate(hashes)
+    bounds = bounds if before == 1 else np.array([0, len(h)])
     row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-    found, rows = [h], [row]
-    for size in STEMS:
-        longer = ends - starts > size
-        found.append(mix(span(starts[longer], starts[longer] + size) + np.uint64(size)))
-        rows.append(row[longer])
+    found, rows = [h, *stems], [row, *stem_rows]
     for gap, salt in zip(SKIPS, _SEPARATE, strict=True):
         same = row[gap:] == row[:-gap]
         found.append(mix(h[:-gap][same] * salt + h[gap:][same]))
