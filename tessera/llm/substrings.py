@@ -38,7 +38,7 @@ from .common import SLICE, SpanHash, cut, doc_slices, resplit, text_buffers
 LENGTH = 400
 GRAM = 100
 #: Bytes of a shard, about, and of one anchor beyond which it is dealt to several shards.
-SHARD = 2 << 20
+SHARD = 1 << 20
 HOT = 1 << 19
 _LOW = np.uint64((1 << 24) - 1)
 
@@ -85,9 +85,9 @@ def find_runs(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFr
             made = []
             for i, j in doc_slices(offsets):
                 digests = np.array([np.frombuffer(hashlib.md5(data[a:z]).digest(), "<i8") for a, z in zip(offsets[i:j], offsets[i + 1 : j + 1], strict=True)])
-                for lo in range(0, int(offsets[j] - offsets[i]), 4 * SLICE) if j == i + 1 else (0,):  # long texts in pieces of whole windows
+                for lo in range(0, int(offsets[j] - offsets[i]), SLICE) if j == i + 1 else (0,):  # long texts in pieces of whole windows
                     a = int(offsets[i]) + lo
-                    z = min(int(offsets[j]), a + 4 * SLICE + length - 1) if j == i + 1 else int(offsets[j])
+                    z = min(int(offsets[j]), a + SLICE + length - 1) if j == i + 1 else int(offsets[j])
                     local = np.array([0, z - a]) if j == i + 1 else offsets[i : j + 1] - a
                     row, first, n, anchor, content = runs(data[a:z], local, length, gram)
                     if len(row):
