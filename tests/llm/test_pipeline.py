@@ -10,7 +10,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 NAMES = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def without_repeats(texts, length=400):
+def without_repeats(texts, length=P.PASSAGE_BYTES):
     seen = Counter(t[i : i + length] for t in texts for i in range(len(t) - length + 1))
     out = []
     for t in texts:
