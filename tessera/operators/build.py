@@ -8,7 +8,6 @@ import re
 from dataclasses import dataclass, field
 
 import pandas as pd
-import yaml
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,6 +51,8 @@ def prompt_version(text: str) -> str:
 
 
 def questions(path: str) -> list[dict]:
+    import yaml
+
     with open(path, encoding="utf-8") as f:
         found = yaml.safe_load(f)
     found = found.get("questions", found) if isinstance(found, dict) else found

@@ -9,7 +9,6 @@ from collections.abc import Callable
 from xml.etree import ElementTree
 
 import pandas as pd
-import yaml
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as t
@@ -17,6 +16,11 @@ from pyspark.sql import types as t
 from ..operators.policy import extension
 from . import html as H
 
+try:
+    import yaml
+except ImportError:  # front matter then stays text
+    yaml = None
+
 MOST_MB = 200
 DOCUMENTS = ["pdf", "html", "htm", "xhtml", "md", "markdown", "txt", "text", "docx"]
 ARCHIVES = ["zip"]
@@ -62,7 +66,7 @@ def _empty_files(spark: SparkSession, root: str) -> list[str]:
 def front_matter(text: str) -> tuple[dict, str]:
     """The YAML mapping at a text's head, if there is a valid one, and what follows."""
     m = re.match(r"---\n(.*?)\n---\s*\n?", text, re.S)
-    if m:
+    if m and yaml is not None:
         try:
             found = yaml.safe_load(m[1])
         except yaml.YAMLError:
