@@ -56,7 +56,7 @@ def test_solution_covers_every_piece_once(histogram):
     used = P.solve(lengths, counts, 64, 50)
     assert (sum(c * n for c, n in used) == counts).all()
     assert all((c * lengths).sum() <= 64 and n > 0 for c, n in used)
-    assert sum(n for _, n in used) <= 1.3 * -(-(lengths * counts).sum() // 64) + (counts * (lengths > 32)).sum()
+    assert sum(n for _, n in used) <= 1.1 * sum(n for _, n in P.best_fit(lengths, counts, 64)) + 1
 
 
 @settings(max_examples=60, deadline=None)
