@@ -54,16 +54,17 @@ def spelling_variants(docs: DataFrame, text: str, least: int = LEAST_COUNT) -> D
 
 def frequent_terms(docs: DataFrame, key: str, text: str, least_papers: int = LEAST_PAPERS, least: int = LEAST_COUNT) -> DataFrame:
     """(term, papers, n, score) of sequences of two or three words; score = papers * sqrt(n)."""
-    lowered = F.transform(F.regexp_extract_all(F.col(text), F.lit(WORD), F.lit(0)), lambda w: F.lower(w))
-    rows = docs.select(key, lowered.alias("w"))
-    grams = lambda size: F.transform(F.sequence(F.lit(1), F.size("w") - size + 1), lambda i: F.slice("w", i, size))
-    empty = F.array().cast("array<array<string>>")
-    parts = F.concat(*[F.when(F.size("w") >= size, grams(size)).otherwise(empty) for size in (2, 3)])
-    rows = rows.select(key, F.explode(parts).alias("g"))
-    stop = lambda w: w.isin(STOP)
-    ok = ~stop(F.col("g")[0]) & ~stop(F.element_at("g", -1)) & F.forall("g", lambda w: F.length(w) >= 3)
-    rows = rows.where(ok & (F.size(F.filter("g", stop)) <= F.size("g") - 2))
-    per = rows.groupBy(key, F.array_join("g", " ").alias("term")).agg(F.count("*").alias("k"))
+    w = F.regexp_extract_all(F.col(text), F.lit(WORD), F.lit(0))
+    # Each word with its next two: one row a word, and the rest is compiled code.
+    rows = docs.select(key, w.alias("w"))
+    zipped = F.arrays_zip(F.col("w").alias("a"), F.slice("w", 2, F.size("w")).alias("b"), F.slice("w", 3, F.size("w")).alias("c"))
+    rows = rows.select(key, F.explode(zipped).alias("x")).select(key, *[F.lower(f"x.{c}").alias(c) for c in "abc"])
+    long = lambda c: F.length(c) >= 3
+    rows = rows.where(~F.col("a").isin(STOP) & long("a") & long("b"))
+    two = F.when(~F.col("b").isin(STOP), F.concat_ws(" ", "a", "b"))
+    three = F.when(long("c") & ~F.col("c").isin(STOP), F.concat_ws(" ", "a", "b", "c"))
+    rows = rows.select(key, F.explode(F.array_compact(F.array(two, three))).alias("term"))
+    per = rows.groupBy(key, "term").agg(F.count("*").alias("k"))
     out = per.groupBy("term").agg(F.count("*").alias("papers"), F.sum("k").alias("n"))
     out = out.where((F.col("papers") >= least_papers) & (F.col("n") >= least))
     return out.withColumn("score", F.col("papers") * F.sqrt("n"))
