@@ -182,3 +182,12 @@ def porter(word: str) -> str:
 @F.pandas_udf(t.StringType())
 def stem(word: pd.Series) -> pd.Series:
     return word.map(lambda w: None if w is None else porter(w))
+
+
+@F.pandas_udf(t.StringType())
+def _root(word: pd.Series) -> pd.Series:
+    return word.map(lambda w: None if w is None else porter(fold(w)))
+
+
+#: Stem of the folded word. Declared as it is so that no filter on stems is moved below it: each distinct word is stemmed once.
+root_once = _root.asNondeterministic()

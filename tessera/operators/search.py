@@ -50,9 +50,9 @@ def build_index(rows: DataFrame, keys: list[str], weights: dict[str, float], pat
     fields = F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("terms")) for c in weights]))
     flat = listed.select(*keys, fields.alias("f")).select(*keys, "f.field", F.posexplode("f.terms").alias("position", "term"))
     if stemmed:
-        from ..functions.udfs import ascii_fold, stem
+        from ..functions.udfs import root_once
 
-        known = flat.select("term").distinct().select("term", stem(ascii_fold("term")).alias("root"))
+        known = flat.select("term").distinct().select("term", root_once("term").alias("root"))
         flat = flat.join(known, "term").drop("term").withColumnRenamed("root", "term")
     postings = flat.groupBy(*keys, "field", "term").agg(F.sort_array(F.collect_list("position")).alias("positions"))
     return Index(postings, lengths, stats, keys, weights)
