@@ -2,7 +2,7 @@
 
 1. language_id: documents whose language is undetermined or rejected go.
 2. near_duplicates: one document of each group of five-word-shingle similarity of 0.8 or more stays.
-3. repeated_passages: bytes of 300-byte strings (about 50 words) that occur more than once are cut from the texts.
+3. repeated_passages: bytes of 101-byte strings (the least that 51 words have) that occur more than once are cut from the texts.
 4. mixing: documents, repeated or left out, so that the sources' words have their target weights.
 5. packing: the documents' tokens in sequences of 1024.
 
@@ -20,8 +20,9 @@ from tessera.llm import langid, mixing, neardup, packing, substrings
 from tessera.llm.common import read, shared_dir
 
 
-#: Passages of over 50 words are repeated text; 50 words of the shortest-worded language here are about 300 bytes.
-PASSAGE_BYTES = 300
+#: Passages of over 50 words are repeated text. 51 words and the spaces between them have 101 bytes or more in any language,
+#: so none is let through; repeated strings of 101 bytes that are fewer words go too.
+PASSAGE_BYTES = 51 + 50
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +36,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return substrings.without_repeats(docs, PASSAGE_BYTES)
+    return substrings.without_repeats(docs, PASSAGE_BYTES, store_runs=False)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -292,10 +292,14 @@ def _merge(found: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "anchor long, content long, lo int, hi int")
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int | None = None, shard: int = SHARD, hot: int = HOT) -> DataFrame:
-    """(t1, t2, spans): for texts with repeated windows, the byte ranges [lo, hi) these cover (not yet merged)."""
+def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int | None = None, shard: int = SHARD, hot: int = HOT, store_runs: bool = True) -> DataFrame:
+    """(t1, t2, spans): for texts with repeated windows, the byte ranges [lo, hi) these cover (not yet merged).
+
+    Short windows make many runs: without ``store_runs`` these are found a second time instead of being written.
+    """
     gram = gram or max(1, length // 4)
-    every = cut(find_runs(docs, length, gram))
+    every = find_runs(docs, length, gram)
+    every = cut(every) if store_runs else every
     often = every.groupBy("anchor").agg(F.count("*").alias("k")).where("k > 1").select("anchor")
     members = cut(every.join(resplit(often), "anchor"))
     classes = members.groupBy("anchor", "content", "n").agg(F.count("*").alias("times"), F.min(F.struct("t1", "t2", "a")).alias("r"))

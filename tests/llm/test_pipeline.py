@@ -94,3 +94,20 @@ def test_run_and_odd_rows(spark, tmp_path):
         assert frame.columns == names
     docs.limit(0).write.parquet(str(tmp_path / "none" / "documents.parquet"))
     assert P.run(spark, str(tmp_path / "none")).collect() == []
+
+
+def test_no_passage_of_51_words_stays(spark):
+    letters = [chr(97 + (i * i + i // 7) % 26) for i in range(51)]
+    for size in (1, 2, 4):
+        passage = " ".join(x * size for x in letters)
+        around = [" ".join(hashlib.md5(f"{size} {i} {k}".encode()).hexdigest() for k in range(20)) for i in range(6)]
+        rows = [(i, f"{a} {passage} {a[::-1]}" if i < 3 else a, "en", "a", 0) for i, a in enumerate(around)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+        got = {r.doc_id: r for r in P.repeated_passages(spark, docs, "").collect()}
+        for i, a in enumerate(around):
+            if i >= 3:
+                assert got[i].text == a and got[i].n_chars == 0
+                continue
+            # The bytes beside the passage may be the same in two texts by chance.
+            assert got[i].n_chars == len(got[i].text) <= 2 * len(a)
+            assert got[i].text.startswith(a[:-5]) and got[i].text.endswith(a[::-1][5:])
