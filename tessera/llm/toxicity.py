@@ -3,8 +3,8 @@
 A document's features are the distinct 32-bit hashes of its words (A-Z lower-cased, without the ASCII punctuation at
 their ends), of the stems of longer words (their first ``STEMS`` bytes, so that inflected forms share a feature), of its pairs of
 neighbours and of its pairs with one or two words between. Training follows the published
-FTRL-proximal update (per-coordinate rates, L1 and L2) over a bounded sample: about ``SAMPLE`` labelled documents of
-either label, chosen by a hash of the id; whole texts, hashed on the executors. Features of fewer than ``LEAST`` sampled
+FTRL-proximal update (per-coordinate rates, L1 and L2) over a bounded sample: about ``2 * SAMPLE`` labelled documents,
+at one rate for both labels, chosen by a hash of the id; whole texts, hashed on the executors. Features of fewer than ``LEAST`` sampled
 documents are left out. The L1 term leaves few weights that aren't zero; they are sorted by hash and broadcast with the
 scoring function, which looks up every feature of every whole text, in slices of bounded size.
 
@@ -90,8 +90,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str =
     if not sizes:
         return Model(np.zeros(0, np.uint32), np.zeros(0), -np.inf)
     draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    chance = F.coalesce(*[F.when(F.col("y") == y, F.lit(min(1.0, sample / n))) for y, n in sizes.items()])
-    picked = marks.where(draw < chance).select("doc_id", "y", draw.alias("draw"))
+    # One rate for both labels: scores keep the labels' true shares whatever the size of the tables.
+    picked = marks.where(draw < min(1.0, 2 * sample / sum(sizes.values()))).select("doc_id", "y", draw.alias("draw"))
     # The sample has about 2 * SAMPLE rows whatever the size of the tables: that bounds the broadcast.
     rows = docs.select("doc_id", F.col(text).alias("x")).join(F.broadcast(picked), "doc_id").select("x", "y", "draw")
 

@@ -2,8 +2,10 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from tessera.llm import toxicity as T
+from tessera.llm.common import fold
 from tessera.llm.queries import op7_toxicity
 
 
@@ -18,6 +20,16 @@ def test_query_held_out(spark):
     assert sum(s >= 0.5 for s in good) <= 0.01 * len(good) and sum(s >= 0.5 for s in bad) >= 0.75 * len(bad)
 
 
+def test_small_sample_keeps_false_positives_low(spark):
+    sf = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    usable = fold(F.col("doc_id")) != 0
+    model = T.train(docs, labels, usable=usable, sample=360)  # of about 2800 clean and 350 toxic rows
+    rows = T.score(docs.where(~usable), model, keep_text=False).join(labels.where("toxic is not null").select("doc_id", "toxic"), "doc_id").collect()
+    bad, good = [r.predicted for r in rows if r.toxic], [r.predicted for r in rows if not r.toxic]
+    assert sum(good) <= 0.01 * len(good) and sum(bad) >= 0.5 * len(bad)
+
+
 def test_odd_rows(spark):
     rows = [(i, f"you are a moron number {i}" if i % 2 else f"have a nice day number {i}") for i in range(200)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
