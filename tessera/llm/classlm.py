@@ -1,13 +1,15 @@
 """Language model scores: Brown class-based bigrams from exchange clustering.
 
-Tokens are words (A-Z lower-cased) and one end per text. Three passes over the corpus, each over all of its rows:
+Tokens are words (A-Z lower-cased) and one end per text. Each pass over the corpus is over all of its rows:
 
 1. The counts of all training words (64-bit hashes), an aggregation over the cluster; the table stays there. At
    most ``COMMON`` of the most frequent words come to the driver.
 2. The bigram counts of items. An item is one of the ``ITEMS`` most frequent words, or all other words with the same last
    three bytes, hashed to ``ENDINGS`` buckets: at most (ITEMS + ENDINGS + 2) squared numbers, however large the corpus is.
    The exchange algorithm moves items between ``CLASSES`` classes as long as that raises the likelihood of the class
-   bigrams. So every word has a class, the rare ones by their ending.
+   bigrams. Then each further word of the ``COMMON`` that is seen ``LEAST`` times or more goes to the class of the best
+   likelihood of all its neighbours' classes, and the class bigrams are counted anew. Only rarer words have a class by
+   their ending.
 3. Scores. P(word | history) = P(class | previous class) * P(word | class). Transitions are smoothed with the class's own
    share, emissions add 0.5 to each count and leave 0.5 for an unseen word in each class. Common words are looked up in a
    broadcast of fixed size; the other words of each text are joined with the table of counts, so a rare word moves once
@@ -33,6 +35,10 @@ ITEMS = 2048
 ENDINGS = 512
 CLASSES = 64
 PASSES = 6
+#: Occurrences from which on a word's class comes from its own neighbours.
+LEAST = 5
+#: Distinct (word, neighbouring class) keys that a task holds before it gives them away.
+HELD = 1 << 21
 #: Weight, in counts, of a class's own share in the transitions to it.
 OWN_SHARE = 5.0
 
@@ -173,6 +179,105 @@ def exchange(bigrams: np.ndarray, fixed: int, classes: int = CLASSES, passes: in
     return label
 
 
+def word_contexts(docs: DataFrame, lookup: Lookup, label: np.ndarray, further: np.ndarray, k: int, text: str = "text") -> DataFrame:
+    """(word, cells): for words of the sorted ``further``, by number, parts of their counts of previous and of next classes.
+
+    Each cell is a 64-bit number: the class before, or k + the class behind, times 2**40, plus the count.
+    """
+    share = docs.sparkSession.sparkContext.broadcast((lookup, label, further))
+
+    def give(keys, n):
+        word = keys // (2 * k)
+        first = np.flatnonzero(np.append(True, word[1:] != word[:-1])) if len(keys) else word
+        cells = (keys % (2 * k) << 40) + n
+        parts = [c.tobytes() for c in np.split(cells, first[1:])] if len(keys) else []
+        return pa.RecordBatch.from_arrays([pa.array(word[first].astype(np.int32)), pa.array(parts, pa.binary())], ["word", "cells"])
+
+    def merge(parts):
+        keys, where = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+        return keys, np.bincount(where, np.concatenate([p[1] for p in parts]), len(keys)).astype(np.int64)
+
+    def run(batches):
+        lookup, label, further = share.value
+        parts, held = [], 0
+        for b in batches:
+            data, offsets = text_buffers(b.column(text))
+            for i, j in doc_slices(offsets):
+                h, ending, bounds = tokens(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                seq, before, ends = lookup.sequences(h, ending, bounds)
+                is_word = np.ones(len(seq), bool)
+                is_word[ends] = False
+                word = np.minimum(np.searchsorted(further, h), len(further) - 1)
+                hit = further[word] == h
+                at, word = np.flatnonzero(is_word)[hit], word[hit] * 2 * k
+                parts.append(np.unique(np.concatenate([word + label[before[at]], word + k + label[seq[at + 1]]]), return_counts=True))
+                held += len(parts[-1][0])
+                if held > HELD:
+                    parts = [merge(parts)]
+                    held = len(parts[0][0])
+                    if held > HELD // 2:
+                        yield give(*parts[0])
+                        parts, held = [], 0
+        if held:
+            yield give(*merge(parts))
+
+    return docs.select(text).mapInArrow(run, "word int, cells binary")
+
+
+def best_classes(contexts: DataFrame, now: np.ndarray, g: np.ndarray, classes: int) -> np.ndarray:
+    """The class of each word of ``word_contexts``, from the class bigrams ``g``, to which each still adds by its class ``now``.
+
+    The likelihood of the word and of its neighbours, given the classes' counts without the word.
+    """
+    k = len(g)
+    share = (g.sum(0) + 0.5) / (g.sum() + 0.5 * k)
+    rows, cols = g.sum(1), g.sum(0)
+    table = np.log((g + OWN_SHARE * share) / (rows[:, None] + OWN_SHARE))
+
+    def choose(batches):
+        for b in batches:
+            for start in range(0, b.num_rows, 2000):
+                part = b.slice(start, 2000)
+                word, lists = part.column("word").to_numpy(), part.column("cells").to_pylist()
+                raw = [np.frombuffer(b"".join(x), np.int64) for x in lists]
+                cells = np.concatenate(raw)
+                row = np.repeat(np.arange(len(raw)), [len(x) for x in raw])
+                both = np.bincount(row * 2 * k + (cells >> 40), cells & ((1 << 40) - 1), len(raw) * 2 * k).reshape(-1, 2 * k)
+                left, right = both[:, :k], both[:, k:]
+                n, a = right.sum(1), now[word]
+                like = left @ table[:, :classes] + right @ table[:classes].T - n[:, None] * np.log(cols[:classes] + n[:, None])
+                # The word's own class, without the word.
+                ahead = np.log((np.maximum(g[a] - right, 0) + OWN_SHARE * share) / (np.maximum(rows[a] - n, 0)[:, None] + OWN_SHARE))
+                back = np.log((np.maximum(g[:, a].T - left, 0) + OWN_SHARE * share[a][:, None]) / (np.maximum(rows - left, 0) + OWN_SHARE))
+                like[np.arange(len(a)), a] = (right * ahead).sum(1) + (left * back).sum(1) - n * np.log(np.maximum(cols[a], n))
+                yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(like.argmax(1).astype(np.int32))], ["word", "class"])
+
+    got = contexts.groupBy("word").agg(F.collect_list("cells").alias("cells")).mapInArrow(choose, "word int, class int").toArrow()
+    out = now.copy()
+    out[got["word"].to_numpy()] = got["class"].to_numpy()
+    return out
+
+
+def class_bigrams(docs: DataFrame, lookup: Lookup, label: np.ndarray, k: int, text: str = "text") -> np.ndarray:
+    share = docs.sparkSession.sparkContext.broadcast((lookup, label))
+
+    def run(batches):
+        lookup, label = share.value
+        g = np.zeros(k * k, np.int64)
+        for b in batches:
+            data, offsets = text_buffers(b.column(text))
+            for i, j in doc_slices(offsets):
+                seq, before, _ = lookup.sequences(*tokens(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]))
+                g += np.bincount(label[before] * k + label[seq], minlength=k * k)
+        at = np.flatnonzero(g)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(g[at])], ["pair", "n"])
+
+    got = docs.select(text).mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    g = np.zeros(k * k)
+    g[got["pair"].to_numpy()] = got["n"].to_numpy()
+    return g.reshape(k, k)
+
+
 @dataclass
 class Model:
     lookup: Lookup
@@ -224,13 +329,25 @@ def train(docs: DataFrame, text: str = "text", classes: int = CLASSES) -> tuple[
     onehot = np.zeros((m, k))
     onehot[np.arange(m), label] = 1
     g = onehot.T @ bigrams @ onehot
+    order = ITEMS + np.flatnonzero(count[ITEMS:] >= LEAST)
+    order = order[np.argsort(word[order])]
+    classed = ending[:ITEMS]  # endings of the words that have a class of their own
+    if len(order):
+        further, by_now = word[order], label[len(lookup.words) + ending[order]]
+        chosen = best_classes(word_contexts(docs, lookup, label, further, k, text), by_now, g, classes)
+        names = np.concatenate([lookup.words, further])
+        place = np.argsort(names)
+        label = np.concatenate([np.concatenate([label[: len(lookup.words)], chosen])[place], label[len(lookup.words) :]])
+        lookup = Lookup(names[place])
+        classed = np.concatenate([classed, ending[order]])
+        g = class_bigrams(docs, lookup, label, k, text)
     tokens_of = g.sum(0)
     # Distinct words of each class: the items that are words, and the other words by their ending.
     distinct = np.bincount(label[: len(lookup.words)], minlength=k).astype(float)
     by_ending = np.zeros(ENDINGS)
     for r in counts.groupBy("ending").count().collect():
         by_ending[r[0]] = r[1]
-    by_ending -= np.bincount(ending[:ITEMS], minlength=ENDINGS)
+    by_ending -= np.bincount(classed, minlength=ENDINGS)
     np.add.at(distinct, label[len(lookup.words) : lookup.end], by_ending)
     distinct[label[lookup.end]] = texts > 0
     share = (tokens_of + 0.5) / (tokens_of[:-1].sum() + 0.5 * (k - 1))

@@ -4,6 +4,7 @@ from collections import Counter
 from math import isclose, log10
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from tessera.llm import classlm as C
 from tessera.llm.queries import op4_class_lm
@@ -84,3 +85,23 @@ def test_exchange_raises_likelihood():
     label = C.exchange(m, 2, 3)
     for k in range(3):
         assert len(set(label[:24][group == k])) == 1
+
+
+def test_words_beyond_the_items_have_classes_by_their_neighbours(spark, monkeypatch):
+    monkeypatch.setattr(C, "ITEMS", 8)
+    monkeypatch.setattr(C, "HELD", 50)  # contexts in several parts
+    rng = np.random.default_rng(0)
+    texts = []
+    for _ in range(300):
+        pick = [f"{side}{rng.integers(4)}" if rng.random() < 0.7 else f"{side}{rng.integers(4, 34)}same" for _ in range(12) for side in "ab"]
+        texts.append(" ".join(pick))
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    model, counts = C.train(docs, classes=2)
+    seen = Counter(w for t in texts for w in t.split())
+    names = [w for w in sorted(seen) if seen[w] >= 5]
+    assert len(names) > 50
+    text = np.frombuffer(" ".join(names).encode(), np.uint8)
+    h, ending, _ = C.tokens(text, np.array([0, len(text)]))
+    label = dict(zip(names, model.label[model.lookup.items(h, ending)].tolist()))
+    assert len({label[w] for w in names if w[0] == "a"}) == len({label[w] for w in names if w[0] == "b"}) == 1 and label["a0"] != label["b0"]
+    hold(C.score(docs, model, counts, keep=[F.lit(False).alias("held_out")]).collect(), list(enumerate(texts)), [False] * len(texts))
