@@ -6,7 +6,8 @@ time, and the longest common extension of two places is found by binary search o
 
 A fingerprint is the number of code points, the hash of the whole text, and the ``KEPT`` smallest of the mixed hashes of
 all its spans of ``SPAN`` code points (of the whole text, if shorter). Likeness of two fingerprints is the share of their
-spans in common (Dice's coefficient), estimated from the smallest of both; it is 1 for equal texts.
+spans in common (Dice's coefficient), estimated from the smallest of both; it is 1 for equal texts. Texts are held against a
+short one (under 4 * ``SPAN``) by shorter spans, of one size for both, which aren't in their fingerprints.
 
 Neighbours by id are found without a global window: texts are dealt to ranges of ids whose bounds are ids themselves, the
 first document of each range is also sent to the range before (the first of all to the last), and each range is
@@ -105,11 +106,11 @@ def _smallest(h: np.ndarray) -> np.ndarray:
     return np.unique(short)[:KEPT]
 
 
-def span_hashes(text: PrefixHash, first: int = 0) -> np.ndarray:
-    """Mixed hashes of all spans of SPAN code points that start at ``first`` or later."""
+def span_hashes(text: PrefixHash, first: int = 0, size: int = SPAN) -> np.ndarray:
+    """Mixed hashes of all spans of ``size`` code points that start at ``first`` or later."""
     if not text.n:
         return np.zeros(0, np.uint64)
-    size = min(SPAN, text.n)
+    size = min(size, text.n)
     return mix(text.spans(np.arange(first, text.n - size + 1), size) + np.uint64(size))
 
 
@@ -134,6 +135,14 @@ def likeness(a: str, b: str) -> float:
     return 2 * common / len(both)
 
 
+def near(a: PrefixHash, b: PrefixHash, a_print: str, b_print: str) -> float:
+    """Likeness of two texts: where one has under 4 * SPAN code points, by spans of a quarter of the shorter one, in both."""
+    shorter = min(a.n, b.n)
+    if not shorter or shorter >= 4 * SPAN or a_print == b_print:
+        return likeness(a_print, b_print)
+    return likeness(*(fingerprint(x, span_hashes(x, size=max(1, shorter // 4))) for x in (a, b)))
+
+
 def _ranges(docs: DataFrame, n: int) -> tuple[list[int], int]:
     """Ids that start ranges, from the smallest id on; at most n of them go to the driver."""
     row = docs.agg(F.min("_at"), F.percentile_approx("_at", [k / n for k in range(1, n)], 20 * n) if n > 1 else F.array(F.min("_at"))).first()
@@ -184,7 +193,7 @@ def compare_with_edited(docs: DataFrame, partitions: int | None = None) -> DataF
         new = np.concatenate([kept, span_hashes(edited, first)])
         edited_print = fingerprint(edited, new)
         sha = hashlib.sha256((text[:keep] + tail).encode("utf-8", "surrogatepass")).hexdigest()
-        return (doc, n, sha, print_, edited_print, likeness(print_, edited_print), likeness(print_, following[4]), common_extension(own, 0, edited, 0))
+        return (doc, n, sha, print_, edited_print, near(own, edited, print_, edited_print), near(own, following[2], print_, following[4]), common_extension(own, 0, edited, 0))
 
     def run(batches):
         names = [x.split()[0] for x in RESULT.split(", ")]

@@ -79,3 +79,13 @@ def test_likeness():
     assert P.likeness(one(""), one("")) == 1 and P.likeness(one(""), one("a")) == 0
     assert P.likeness(one(words), one(words[:-50] + "x" * 50)) > 0.85
     assert P.likeness(one(words), one(other)) < 0.2
+
+
+def test_short_texts_keep_a_likeness(spark):
+    for n in (4, 8, 12, 15, 16, 20, 24, 40, 63):
+        texts = ["".join(chr(0x4E00 + 100 * i + k) for k in range(n)) for i in range(3)]
+        texts.append(texts[2][: n - n // 4] + "x" * 200)
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        got = {r.doc_id: r for r in P.compare_with_edited(docs, 1).collect()}
+        assert all(0.5 <= got[i].near_edited < 1 for i in range(3)), n
+        assert got[0].near_next == 0 and got[2].near_next > 0
