@@ -799,7 +799,7 @@ def multi_kind_search(spark, sf_dir):
     """The best lines, claims and papers for a question, each kind by its own index and weights."""
     docs = table(spark, sf_dir, "documents")
     claims = table(spark, sf_dir, "conversations").select(F.concat_ws("#", "conv_id", "turn").alias("id"), F.col("text").alias("statement"), F.col("role").alias("facets"), F.lit("").alias("tags"))
-    papers = docs.select(F.col("doc_id").cast("string").alias("id"), F.substring_index("text", "\n", 1).alias("title"), F.col("source").alias("authors"), F.substring("text", 1, 8000).alias("abstract"), F.col("lang").alias("keywords"))
+    papers = docs.select(F.col("doc_id").cast("string").alias("id"), F.substring_index("text", "\n", 1).alias("title"), F.col("source").alias("authors"), F.col("text").alias("abstract"), F.col("lang").alias("keywords"))
     units = structure.line_units(docs).select(F.concat_ws(":", "doc_id", "ordinal").alias("id"), "text", F.lit("").alias("heading"), F.lit("").alias("section"))
     out = None
     for kind, rows, limit in (("units", units, 10), ("claims", claims, 10), ("papers", papers, 12)):

@@ -84,3 +84,12 @@ def test_contribution(spark):
     b = spark.createDataFrame([("q", 1), ("r", 2), ("q", 3)], "paper_id string, o int")
     got = {r.paper_id: (r.contribution, r.first_place) for r in S.contribution([(3.0, a), (1.0, b)], "paper_id", [F.col("o")]).collect()}
     assert got == {"p": (3.0, 0), "q": (5.0, 1), "r": (1.0, 1)}
+
+
+def test_papers_are_found_by_words_far_behind(spark, tmp_path):
+    from tessera.plans.catalog import multi_kind_search
+
+    docs = [(1, "word " * 3000 + "license", "en", "a"), (2, "nothing here", "en", "a")]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, 1, "user", "hello")], "conv_id long, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    assert [r.id for r in multi_kind_search(spark, str(tmp_path)).collect() if r.kind == "papers"] == ["1"]
