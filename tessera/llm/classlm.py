@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import _FOLD, SpanHash, cut, doc_slices, text_buffers, word_pieces, words
 
@@ -294,18 +295,28 @@ class Model:
 def _most_frequent(counts: DataFrame, most: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """At most ``most`` words with their endings and counts, most frequent first.
 
-    The least count comes from a histogram of counts in steps of a 16th of an octave, a thousand rows at any size; words of
-    that step and above, all of them, are read by a filter, so no task sorts or holds more than its own.
+    The least count comes from a histogram of counts in steps of a 16th of an octave, a thousand rows at any size, and of
+    the step that fits in part, one of 4096 ranges of the words' hashes; the words are read by a filter on both, so no task
+    sorts or holds more than its own.
     """
     most = COMMON if most is None else most
     step = F.floor(F.log2("count") * 16).cast("int")
-    total, least = 0, None
+    total, least, next_ = 0, None, None
     for r in sorted(counts.groupBy(step.alias("step")).count().collect(), reverse=True):
-        total += r[1]
-        if total > most:
+        if total + r[1] > most:
+            next_ = r[0]
             break
-        least = r[0]
-    top = (counts.where(step >= least) if least is not None else counts.limit(0)).select("word", "ending", "count").toArrow()
+        total, least = total + r[1], r[0]
+    taken = step >= least if least is not None else F.lit(False)
+    if next_ is not None:  # of the step that doesn't fit as a whole, the ranges of hashes that do
+        range_, upto = F.shiftright("word", 52), -(1 << 11)
+        for r in sorted(counts.where(step == next_).groupBy(range_.alias("range")).count().collect()):
+            total += r[1]
+            if total > most:
+                break
+            upto = r[0] + 1
+        taken = taken | ((step == next_) & (range_ < upto))
+    top = counts.where(taken).select("word", "ending", "count").toArrow()
     word, ending, count = (top[c].to_numpy() for c in ("word", "ending", "count"))
     order = np.lexsort((word, -count))
     return word[order], ending[order], count[order]
@@ -358,22 +369,28 @@ def train(docs: DataFrame, text: str = "text", classes: int = CLASSES) -> tuple[
     return model, counts.select("word", "count")
 
 
-LOCAL = "row long, word long, k long, n_tokens long, known long, base double, model double"
+LOCAL = "r1 long, r2 long, word long, k long, n_tokens long, known long, base double, model double"
 
 
 def score(docs: DataFrame, model: Model, counts: DataFrame, text: str = "text", keep: list[Column] | None = None) -> DataFrame:
-    """doc_id, ``keep``, n_tokens, n_known, train_tokens, base_score, score of every row."""
+    """doc_id, ``keep``, n_tokens, n_known, train_tokens, base_score, score of every row.
+
+    The parts of a row meet again by 128 bits of its own values, not by its place, so that any input and any task that runs
+    again gives the same key; rows that are equal in all of these are added up as one and are given as often as they came.
+    """
     base_total = float(np.log10(model.n + 0.5 * (model.v + 1)))
     end_known = model.end_count > 0
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id"), *(keep or []), F.col(text).alias("_text"))
-    names = [c for c in rows.columns if c not in ("row", "_text")]
+    rows = docs.select(F.col("doc_id"), *(keep or []), F.col(text).alias("_text"))
+    names = [c for c in rows.columns if c != "_text"]
+    own = [F.col(c) for c in rows.columns]
+    rows = rows.select(F.xxhash64(*own, F.lit(1)).alias("r1"), F.xxhash64(F.lit(2), *own).alias("r2"), F.struct(*names).alias("row"), "_text")
     share = docs.sparkSession.sparkContext.broadcast(model)  # of a size that COMMON, ITEMS, ENDINGS and CLASSES bound
 
     def run(batches):
         m = share.value
         for b in batches:
             data, offsets = text_buffers(b.column("_text"))
-            ids = b.column("row").to_numpy()
+            keys = np.stack([b.column("r1").to_numpy(), b.column("r2").to_numpy()])
             for i, j in doc_slices(offsets):
                 h, ending, bounds = tokens(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 seq, before, ends = m.lookup.sequences(h, ending, bounds)
@@ -397,22 +414,33 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, text: str = "text",
                 first = np.flatnonzero(new)
                 k = np.diff(np.append(first, len(rare)))
                 z, zf = np.zeros(len(first), np.int64), np.zeros(len(first))
-                own = ids[i:j]
+                own = keys[:, i:j]
                 numer = np.add.reduceat(value, starts)
                 # A text's own row joins no word: it goes by a key of its own, so that these rows spread too.
-                local = [own, own, np.zeros(j - i, np.int64), np.diff(bounds) + 1, np.add.reduceat(known, starts), numer, numer + model_part]
-                local[1] = (own.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0x632BE59BD9B4E019)).view(np.int64)
-                tail = [own[rare_row[first]], rare[first], k, z, z, zf, zf]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(local, tail, strict=True)], [x.split()[0] for x in LOCAL.split(", ")])
-
-    parts = rows.select("row", "_text").mapInArrow(run, LOCAL).join(counts, "word", "left")
+                apart = (own[0].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0x632BE59BD9B4E019)).view(np.int64)
+                local = [*own, apart, np.zeros(j - i, np.int64), np.diff(bounds) + 1, np.add.reduceat(known, starts), numer, numer + model_part]
+                tail = [*own[:, rare_row[first]], rare[first], k, z, z, zf, zf]
+                columns = [pa.array(np.concatenate(c)) for c in zip(local, tail, strict=True)]
+                carried = pa.concat_arrays([b.column("row").slice(i, j - i), pa.nulls(len(first), b.column("row").type)])
+                yield pa.RecordBatch.from_arrays([*columns, carried], [*[x.split()[0] for x in LOCAL.split(", ")], "row"])
+
+    schema = StructType([*StructType.fromDDL(LOCAL).fields, rows.schema["row"]])
+    schema["row"].nullable = True
+    parts = rows.mapInArrow(run, schema).join(counts, "word", "left")
     c = F.coalesce("count", F.lit(0))
     numerator = F.when(F.col("k") > 0, F.col("k") * F.log10(c + F.lit(0.5))).otherwise(F.lit(0.0))
-    sums = parts.groupBy("row").agg(
+    sums = parts.groupBy("r1", "r2").agg(
         F.sum("n_tokens").alias("n_tokens"),
         F.sum(F.col("known") + F.when(c > 0, F.col("k")).otherwise(F.lit(0))).cast("long").alias("n_known"),
         F.sum(F.col("base") + numerator).alias("base"),
         F.sum(F.col("model") + numerator).alias("model"),
+        F.first("row", ignorenulls=True).alias("row"),
+        F.count("row").alias("times"),
+    )
+    n = F.col("n_tokens") / F.col("times")
+    out = sums.select(
+        *[F.col("row")[c].alias(c) for c in names], n.cast("long").alias("n_tokens"), (F.col("n_known") / F.col("times")).cast("long").alias("n_known"),
+        F.lit(model.n).cast("long").alias("train_tokens"), (F.col("base") / F.col("times") - n * F.lit(base_total)).alias("base_score"),
+        (F.col("model") / F.col("times")).alias("score"), "times",
     )
-    out = rows.drop("_text").join(sums, "row")
-    return out.select(*names, "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"), (F.col("base") - F.col("n_tokens") * F.lit(base_total)).alias("base_score"), F.col("model").alias("score"))
+    return out.withColumn("times", F.explode(F.sequence(F.lit(1), F.col("times")))).drop("times")

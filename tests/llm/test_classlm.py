@@ -105,3 +105,45 @@ def test_words_beyond_the_items_have_classes_by_their_neighbours(spark, monkeypa
     label = dict(zip(names, model.label[model.lookup.items(h, ending)].tolist()))
     assert len({label[w] for w in names if w[0] == "a"}) == len({label[w] for w in names if w[0] == "b"}) == 1 and label["a0"] != label["b0"]
     hold(C.score(docs, model, counts, keep=[F.lit(False).alias("held_out")]).collect(), list(enumerate(texts)), [False] * len(texts))
+
+
+def test_scores_by_hand_on_shuffled_input(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    model, counts = C.train(docs)
+    count = Counter(t for text in texts.values() for t in toks(text))
+    raw = np.frombuffer(" ".join(w for w in count if w is not None).encode(), np.uint8)
+    h, ending, _ = C.tokens(raw, np.array([0, len(raw)]))
+    label = dict(zip([w for w in count if w is not None], model.label[model.lookup.items(h, ending)].tolist()))
+    label[None], begin = int(model.label[-2]), int(model.label[-1])
+    pairs, size, kinds = Counter(), Counter(), Counter(label[t] for t in count)
+    for text in texts.values():
+        c = [begin, *[label[t] for t in toks(text)]]
+        pairs.update(zip(c, c[1:]))
+        size.update(c[1:])
+    before = Counter()
+    for (a, _), k in pairs.items():
+        before[a] += k
+    total = sum(size.values())
+    k = len(model.log_transition)
+
+    def p(a, t):
+        share = (size[label[t]] + 0.5) / (total + 0.5 * (k - 1))
+        transition = (pairs[a, label[t]] + C.OWN_SHARE * share) / (before[a] + C.OWN_SHARE)
+        return log10(transition * (count[t] + 0.5) / (size[label[t]] + 0.5 * (kinds[label[t]] + 1)))
+
+    want = {}
+    for doc, text in texts.items():
+        t = toks(text)
+        want[doc] = (len(t), sum(p(a, b) for a, b in zip([begin, *[label[x] for x in t]], t)))
+    for shuffled in (docs, docs.dropDuplicates(["doc_id"]), docs.repartition(16)):
+        got = C.score(shuffled, model, counts).collect()
+        assert len(got) == len(want)
+        for r in got:
+            assert r.n_tokens == want[r.doc_id][0] and isclose(r.score, want[r.doc_id][1], rel_tol=1e-9)
+
+
+def test_most_frequent_words_of_one_count(spark):
+    counts = spark.range(5000).select(F.xxhash64("id").alias("word"), F.lit(1).alias("ending"), F.when(F.col("id") < 10, 50).otherwise(7).cast("long").alias("count"))
+    word, _, count = C._most_frequent(counts, 1000)
+    assert 900 < len(word) <= 1000 and (count[:10] == 50).all() and (count[10:] == 7).all()
