@@ -3,17 +3,18 @@
 Documents become token ids and an end id; only those of more than ``capacity`` ids are cut, into pieces of ``capacity``,
 the first of which takes what is over. Only the histogram of piece lengths (at most ``capacity`` numbers) goes to the
 driver. There the configuration LP - as few sequences as possible, so that the multisets of lengths they hold cover the
-histogram - is solved by multiplicative weights: each length has a weight, pricing finds the multiset of most weight that
-fits a sequence by dynamic programming over the capacity (an unbounded knapsack), that configuration serves its share,
-and the weights of lengths that are served less rise. The fractional solution is rounded down, and the lengths that are
-left over are packed by best fit decreasing over their histogram.
+histogram - is solved by multiplicative weights: each length has a dual weight, pricing finds the multiset of most weight
+that fits a sequence by dynamic programming over the capacity (an unbounded knapsack), that configuration covers a small
+share, and the weights of lengths that are covered less rise. The fractional solution is rounded down, and the lengths
+that are left over are packed by best fit decreasing over their histogram.
 
 The plan is a table of (length, first rank, last rank) to (sequence numbers, slot), of bounded size, and the pieces are
 ranked within their length by prefix sums over ranges of the ids' hash, so no length's pieces meet in one task.
 
 Defined cases: null and empty texts are the end id alone; repeated rows and ids are packed as separate documents, their
 pieces tied in an arbitrary but complete order; an empty table gives an empty result; the strings of special tokens in a
-text are ordinary text; other columns are ignored.
+text become these tokens' ids, as the vocabulary file has it; a text is encoded whole, so a very long one needs memory in
+proportion to its ids (some 40 bytes a token) in the one task that encodes it, and none beyond; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,9 +32,11 @@ from .common import cut
 
 CAPACITY = 1024
 END = 2
-ROUNDS = 400
-ETA = 1.5
-SCALES = (0.97, 0.9, 0.75)
+ROUNDS = 600
+ETA = 1.0
+#: Share of a length's pieces that one round covers at most.
+STEP = 0.05
+SCALES = (1.0, 0.97, 0.9, 0.75, 0.5, 0.0)
 
 
 def vocabulary(name: str = "byte_bpe_50k") -> str:
@@ -44,11 +47,12 @@ def vocabulary(name: str = "byte_bpe_50k") -> str:
 
 @lru_cache(maxsize=2)
 def encoder(path: str):
-    """A function from a text to its ids, for a byte-level BPE in the format of the tokenizers library.
+    """A function from a text to its ids, equal to ``Tokenizer.from_file(path).encode(text, add_special_tokens=False)``.
 
-    The vocabulary file is the parameter; where the same vocabulary also lies beside it as ranks, the faster encoder of
-    the tiktoken library reads these (equal ids: tests/llm hold both encoders against each other).
+    The vocabulary file is the parameter. Where the same vocabulary also lies beside it as ranks, the faster encoder of the
+    tiktoken library reads these, with the special tokens of the vocabulary file (tests/llm hold both encoders together).
     """
+    import json
     import os
 
     ranks = path.removesuffix(".json") + ".tiktoken"
@@ -58,11 +62,13 @@ def encoder(path: str):
 
         with open(ranks, "rb") as f:
             table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        return tiktoken.Encoding(os.path.basename(ranks), pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={}).encode_ordinary
+        with open(path, encoding="utf-8") as f:
+            special = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+        made = tiktoken.Encoding(os.path.basename(ranks), pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens=special)
+        return lambda text: made.encode(text, allowed_special="all", disallowed_special=())
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     return lambda text: t.encode(text, add_special_tokens=False).ids
 
 
@@ -124,25 +130,28 @@ def price(weights: np.ndarray, lengths: np.ndarray, left: np.ndarray, capacity:
 
 
 def cover(lengths: np.ndarray, counts: np.ndarray, capacity: int = CAPACITY, rounds: int = ROUNDS) -> list[tuple[np.ndarray, float]]:
-    """Fractional solution of the configuration LP by multiplicative weights: configurations and how often each is used.
+    """Fractional solution of the covering LP by multiplicative weights: configurations and how often each is used.
 
-    Every round uses the best-priced configuration for 1/rounds of the sequences that the histogram fills. A length's
-    weight is its size times exp(ETA * what of it is not yet served, against the average), so the lengths that lag win.
+    The weights are duals of the covering constraints: a length's size, the dual of a perfect packing, times exp(ETA * the
+    share of it that isn't covered yet), so what lags is worth more. Each round prices one configuration and uses it for at
+    most ``STEP`` of the pieces of any of its lengths (one sequence at least), and for no more than are left. What isn't
+    covered after ``rounds`` is left over.
     """
     need = counts.astype(np.float64)
-    total = float((need * lengths).sum()) / capacity
     x: dict[bytes, float] = {}
     served = np.zeros(len(lengths))
-    for _ in range(rounds if total else 0):
-        short = np.where(need > 0, np.maximum(need - served, 0) / np.maximum(need, 1e-9), 0)
-        if not (short > 1e-9).any():
+    for _ in range(rounds):
+        left = np.maximum(need - served, 0)
+        live = left > 1e-9 * need
+        if not live.any():
             break
-        weight = np.where(short > 1e-9, lengths / capacity * np.exp(ETA * (short - short[need > 0].mean())), 0)
-        config = price(weight, lengths, counts, capacity)
+        short = left / need
+        weight = np.where(live, lengths / capacity * np.exp(ETA * (short - short[live].mean())), 0)
+        config = price(weight, lengths, np.ceil(left - 1e-9).astype(np.int64), capacity)
         part = np.flatnonzero(config)
         if not len(part):
             break
-        much = min(total / rounds, float(((need - served)[part] / config[part]).min()))
+        much = min(float((left[part] / config[part]).min()), max(1.0, STEP * float((need[part] / config[part]).min())))
         x[config.tobytes()] = x.get(config.tobytes(), 0) + much
         served += much * config
     return [(np.frombuffer(k, np.int64), n) for k, n in sorted(x.items(), key=lambda kv: -kv[1])]
@@ -179,7 +188,8 @@ def solve(lengths: np.ndarray, counts: np.ndarray, capacity: int = CAPACITY, rou
     """Configurations (counts by length's place) and how many sequences use each; together they hold each piece once.
 
     The fractional solution is rounded down after scaling by each of ``SCALES``, what is left over is packed by best fit
-    decreasing, and the scale with the fewest sequences counts.
+    decreasing, and the scale with the fewest sequences counts (the largest of equals). The last scale leaves everything
+    to best fit, so the plan never has more sequences than that alone.
     """
     fractional, best = cover(lengths, counts, capacity, rounds), None
     for scale in SCALES:

@@ -14,7 +14,6 @@ def hold(rows, texts):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(P.vocabulary())
-    t.encode_special_tokens = True
     want = []
     for doc, text in texts:
         ids = [*t.encode(text or "", add_special_tokens=False).ids, 2]
@@ -45,6 +44,8 @@ def test_odd_rows(spark):
     rows = [(1, None), (2, ""), (3, "a b"), (3, "a b"), (4, "x " * 3000), (5, "<|endoftext|> é 😀"), (6, "y" * 5000)]
     docs = spark.createDataFrame([(a, b, 9) for a, b in rows], "doc_id long, text string, offset int")
     hold(P.pack(docs).collect(), rows)
+    long = [(1, "some words and <|endoftext|> others, é " * 20000), (2, "z"), (3, None)]
+    hold(P.pack(spark.createDataFrame(long, "doc_id long, text string")).collect(), long)
     assert P.pack(docs.limit(0)).collect() == []
 
 
@@ -56,16 +57,15 @@ def test_solution_covers_every_piece_once(histogram):
     used = P.solve(lengths, counts, 64, 50)
     assert (sum(c * n for c, n in used) == counts).all()
     assert all((c * lengths).sum() <= 64 and n > 0 for c, n in used)
-    assert sum(n for _, n in used) <= 1.1 * sum(n for _, n in P.best_fit(lengths, counts, 64)) + 1
+    assert sum(n for _, n in used) <= sum(n for _, n in P.best_fit(lengths, counts, 64))
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.text(max_size=200))
+@given(st.one_of(st.text(max_size=200), st.lists(st.sampled_from(["<|endoftext|>", "<|endof", "|>", " ", "a", "é", "\n"]), max_size=12).map("".join)))
 def test_encoders_agree(text):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(P.vocabulary())
-    t.encode_special_tokens = True
     assert list(P.encoder(P.vocabulary())(text)) == t.encode(text, add_special_tokens=False).ids
 
 
@@ -79,3 +79,11 @@ def test_pricing_is_a_knapsack():
             best[c] = max([best[c - 1], *[best[c - x] + w for x, w in zip(lengths, weights) if x <= c]])
         got = P.price(weights, lengths, np.full(len(lengths), 99), 30)
         assert (got * lengths).sum() <= 30 and (got * weights).sum() == pytest.approx(best[30])
+
+
+def test_configurations_beat_best_fit():
+    lengths = np.array([260, 270, 300, 340, 350, 370, 400, 410])
+    counts = np.array([294, 302, 351, 390, 206, 228, 364, 389])
+    least = -(-int((lengths * counts).sum()) // 1024)
+    used = sum(n for _, n in P.solve(lengths, counts))
+    assert used < 0.92 * sum(n for _, n in P.best_fit(lengths, counts, 1024)) and used <= 1.05 * least
