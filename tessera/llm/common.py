@@ -26,10 +26,13 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster: spark.checkpoint.dir; a temporary one is set only where that is unset."""
+    """The shared folder of the cluster: spark.checkpoint.dir. Only in local mode, where all is one process, may it be
+    unset: a temporary folder takes its place."""
     sc = spark.sparkContext
     conf = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if sc.getCheckpointDir() is None:
+        if not conf and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(conf or tempfile.mkdtemp(prefix="tessera-"))
     return conf or sc.getCheckpointDir()
 
@@ -96,40 +99,54 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+#: Modulus of the span hashes, a prime with a cheap remainder, and two bases; each byte has a random number besides.
+_PRIME = np.uint64((1 << 31) - 1)
 _RNG = np.random.Generator(np.random.PCG64(20240607))
-_BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64)
-_BASE = int(_RNG.integers(1, 1 << 62)) * 2 + 1
-_UNBASE = pow(_BASE, -1, 1 << 64)
+_BYTE = _RNG.integers(1, int(_PRIME), 256, dtype=np.uint64)
+_BASES = [int(x) for x in _RNG.integers(1 << 20, int(_PRIME), 2)]
 _powers: dict[int, np.ndarray] = {}
 
 
+def _less(x: np.ndarray) -> np.ndarray:
+    """Congruent modulo the prime, and under 2**33 (under 2**31 + 4 for x under 2**33)."""
+    return (x & _PRIME) + (x >> np.uint64(31))
+
+
 def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64, kept between calls."""
+    """base**0 .. base**(n-1) modulo the prime, kept between calls."""
     have = _powers.get(base)
     if have is None or len(have) < n:
-        size = 1 << max(12, int(n - 1).bit_length())
-        out = np.ones(size, np.uint64)
-        if size > 1:
-            out[1:] = np.uint64(base)
-            np.multiply.accumulate(out, out=out)
-        _powers[base] = have = out
+        have = np.ones(1, np.uint64)
+        while len(have) < max(n, 1 << 12):
+            more = have * np.uint64(pow(base, len(have), int(_PRIME))) % _PRIME
+            have = np.concatenate([have, more])
+        _powers[base] = have
     return have[:n]
 
 
 class SpanHash:
-    """64-bit hashes of any spans of one slice of bytes, from prefix sums of a polynomial modulo 2**64.
+    """64-bit hashes of any spans of one slice of bytes, from prefix sums of polynomials modulo a prime at two bases.
 
-    Bytes go through a random table first; a span's hash does not depend on where the span stands.
+    Bytes go through a random table first; a span's hash does not depend on where the span stands. The modulus is a prime:
+    modulo a power of two, strings such as the Thue-Morse sequence and its complement have equal hashes at every base.
     """
 
     def __init__(self, data: np.ndarray):
         n = len(data)
-        self.prefix = np.zeros(n + 1, np.uint64)
-        np.cumsum(_BYTE[data] * powers(_BASE, n), out=self.prefix[1:])
-        self.inverse = powers(_UNBASE, n + 1)
+        coded = _BYTE[data]
+        self.parts = []
+        for base in _BASES:
+            prefix = np.zeros(n + 1, np.uint64)
+            np.cumsum(_less(coded * powers(base, n)), out=prefix[1:])
+            self.parts.append((prefix, powers(pow(base, -1, int(_PRIME)), n + 1)))
 
     def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return mix((self.prefix[ends] - self.prefix[starts]) * self.inverse[starts] + (ends - starts).astype(np.uint64))
+        out = (ends - starts).astype(np.uint64) * MIX2
+        for k, (prefix, inverse) in enumerate(self.parts):
+            x = _less(_less(prefix[ends] - prefix[starts])) * inverse[starts]
+            x = _less(_less(x))
+            out += np.where(x >= _PRIME, x - _PRIME, x) << np.uint64(32 * k)
+        return mix(out)
 
 
 def doc_slices(offsets: np.ndarray, limit: int = SLICE) -> Iterator[tuple[int, int]]:

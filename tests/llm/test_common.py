@@ -57,6 +57,23 @@ def test_span_hashes(data, i, j, n):
         assert (a == b) == (data[i : i + n] == data[j : j + n])
 
 
+def test_span_hashes_tell_thue_morse_strings_apart():
+    bits = np.array([bin(i).count("1") & 1 for i in range(1 << 14)], np.uint8)
+    for a, b in (b"ab", b"01", b" x"):
+        for size in (64, 512, 1024, 1 << 14):
+            one, two = (np.where(x, a, b).astype(np.uint8) for x in (bits[:size], 1 - bits[:size]))
+            span = C.SpanHash(np.concatenate([one, two, one]))
+            h = span(np.array([0, size, 2 * size]), np.array([size, 2 * size, 3 * size]))
+            assert h[0] != h[1] and h[0] == h[2]
+
+
+def test_span_hashes_spread():
+    rng = np.random.default_rng(5)
+    span = C.SpanHash(rng.integers(0, 3, 1 << 20).astype(np.uint8))
+    at = np.arange((1 << 20) - 40)
+    assert len(np.unique(span(at, at + 40))) == len(at)
+
+
 def test_sliced_columns():
     column = pa.array(["zero", None, "two", "", "é"]).slice(1, 3)
     data, offsets = C.text_buffers(column)
