@@ -11,8 +11,10 @@
 
 The number of rows of a band is the largest for which a pair at the threshold misses all bands with a probability of at
 most ``MISS_BANDS``. Buckets and groups over ``BLOCK`` members (or ``BLOCK_BYTES`` of text) are split by a hash into blocks,
-and each pair of blocks is a task of its own, so that none holds an unbounded group; the links of all tasks meet in the
-components. Nothing is capped: every candidate pair is pruned by its posterior or verified.
+so that no task holds an unbounded group. First the pairs inside the blocks are looked at; then ``REPS`` members of each
+component that these links made, across the blocks; and only where a group is still in several components, its members
+outside its largest one meet all of its blocks. So a group of copies of one text moves about once, whatever its size.
+Nothing is capped: every candidate pair is in one component already, pruned by its posterior, or verified.
 
 Defined cases: null texts and texts without words have no set and are linked with nothing; texts of fewer words than a
 shingle have their whole sequence as the one shingle; rows of one id count as one node; rows without id are linked with
@@ -38,6 +40,7 @@ MISS_BANDS = 1e-6
 MISS = 1e-7
 BLOCK = 1024
 BLOCK_BYTES = 16 << 20
+REPS = 8
 
 _rng = np.random.Generator(np.random.PCG64(77))
 _TIMES = (_rng.integers(0, 1 << 32, HASHES, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
@@ -106,7 +109,7 @@ def small(sig: np.ndarray) -> np.ndarray:
     return ((sig * np.uint32(0x9E3779B1)) >> np.uint32(24)).astype(np.uint8)
 
 
-SKETCH = "id long, n_shingles long, h1 long, h2 long, small binary, bands array<long>"
+SKETCH = "id long, n_shingles long, h1 long, h2 long, small binary, bands array<long>, w long"
 
 
 def sketches(docs: DataFrame, size: int, threshold: float) -> DataFrame:
@@ -128,23 +131,57 @@ def sketches(docs: DataFrame, size: int, threshold: float) -> DataFrame:
                 else:
                     smalls.append(b"")
                     keys.append(np.zeros(0, np.int64))
-            columns = [b.column("id"), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(smalls, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
+            columns = [b.column("id"), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(smalls, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(np.diff(text_buffers(b.column("text"))[1]))]
             yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in SKETCH.split(", ")])
 
     return docs.select(F.col("doc_id").cast("long").alias("id"), "text").mapInArrow(run, SKETCH)
 
 
-def _blocks(members: DataFrame, group: str, weight: str, count: int = BLOCK, bytes_: int = BLOCK_BYTES) -> DataFrame:
-    """Members with a task key and their side of the task (0 or 1): a group of one block is one task, a larger one has a
-    task for each pair of its blocks, in which only pairs between the sides (or within the one block) are looked at."""
-    sizes = members.groupBy(group).agg(F.count("*").alias("_n"), F.sum(weight).alias("_w")).where("_n > 1")
-    blocks = F.greatest(F.ceil(F.col("_n") / count), F.ceil(F.col("_w") / bytes_)).cast("int")
-    members = members.join(resplit(sizes.select(group, F.least(blocks, F.col("_n").cast("int")).alias("_blocks"))), group)
-    members = members.withColumn("_own", F.pmod(F.xxhash64("id", F.lit(7)), F.col("_blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
-    members = members.withColumn("_other", other)
-    pair = F.xxhash64(group, F.least("_own", "_other"), F.greatest("_own", "_other"))
-    return members.withColumn("task", pair).withColumn("side", (F.col("_own") > F.col("_other")).cast("int")).withColumn("one", F.col("_own") == F.col("_other"))
+def _in_blocks(members: DataFrame, bytes_: int) -> DataFrame:
+    """Members (grp, id, w) of groups of two or more with the number of their group's blocks and their own block."""
+    sizes = members.groupBy("grp").agg(F.count("*").alias("n"), F.sum("w").alias("w")).where("n > 1")
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("w") / bytes_))
+    sizes = sizes.select("grp", F.least(blocks, "n").cast("int").alias("blocks"))
+    return members.join(resplit(sizes), "grp").withColumn("block", F.pmod(F.xxhash64("id", F.lit(7)), F.col("blocks")).cast("int"))
+
+
+def _labelled(members: DataFrame, found: DataFrame) -> DataFrame:
+    """Members with the component that the links found so far put them in."""
+    return cut(members.join(components(found).select("id", F.col("component").alias("label")), "id", "left").withColumn("label", F.coalesce("label", "id")))
+
+
+def links(members: DataFrame, payload: DataFrame, compare, bytes_: int = BLOCK_BYTES) -> DataFrame:
+    """Links that connect, inside each group of ``members`` (grp, id, w), all that ``compare`` links by any pairs.
+
+    compare: rows (task, side, label, id, and the columns of ``payload``, by id) to links between rows of different labels
+    of a task, of different sides if it has two.
+    """
+    row = ["task", "side", "label", "id"]
+    members = _in_blocks(members, bytes_)
+    zero, same = F.lit(0).alias("side"), F.col("id").alias("label")
+    found = cut(compare(members.select(F.xxhash64("grp", "block").alias("task"), zero, same, "id").join(payload, "id")))
+    big = cut(members.where("blocks > 1"))
+    if big.isEmpty():
+        return found
+    labelled = _labelled(big, found)
+    picks = [F.min(F.struct(F.xxhash64("id", F.lit(100 + k)), "id", "w")).alias(f"p{k}") for k in range(REPS)]
+    reps = labelled.groupBy("grp", "label").agg(*picks).select("grp", F.explode(F.array_distinct(F.array(*[F.struct("label", f"p{k}.id", f"p{k}.w") for k in range(REPS)]))).alias("r"))
+    reps = _in_blocks(reps.select("grp", "r.*"), bytes_)
+    more = cut(compare(reps.select(F.xxhash64("grp", "block").alias("task"), zero, "label", "id").join(payload, "id")))
+    found = found.union(more)
+    labelled = _labelled(big, found)
+    kinds = labelled.groupBy("grp", "label").agg(F.count("*").alias("n"))
+    main = kinds.groupBy("grp").agg(F.max(F.struct("n", "label"))["label"].alias("main"), F.count("*").alias("kinds")).where("kinds > 1").select("grp", "main")
+    apart = cut(labelled.join(resplit(main), "grp").withColumn("stray", F.col("label") != F.col("main")))
+    chunks = apart.where("stray").groupBy("grp").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("w") / bytes_)).cast("int").alias("chunks"))
+    if chunks.isEmpty():
+        return found
+    apart = apart.join(resplit(chunks), "grp")
+    every = apart.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("side", zero)
+    strays = apart.where("stray").withColumn("chunk", F.pmod(F.xxhash64("id", F.lit(11)), F.col("chunks")).cast("int"))
+    strays = strays.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("side", F.lit(1))
+    last = every.unionByName(strays).select(F.xxhash64("grp", "block", "chunk").alias("task"), *row[1:])
+    return found.union(cut(compare(last.join(payload, "id"))))
 
 
 def _tasks(batches, key: str = "task"):
@@ -169,8 +206,8 @@ def _tasks(batches, key: str = "task"):
 class Forest:
     """Union-find over the members of one task."""
 
-    def __init__(self, n: int):
-        self.label = np.arange(n)
+    def __init__(self, label: np.ndarray):
+        self.label = np.unique(label, return_inverse=True)[1]
         self.links: list[tuple[int, int]] = []
 
     def join(self, i: int, j: int) -> None:
@@ -193,12 +230,14 @@ def survivors(sig: np.ndarray, i: int, others: np.ndarray, least: tuple[int, ...
     return others
 
 
-def _compare(sig: np.ndarray, sides: np.ndarray, one: bool, least: tuple[int, ...], verify=None) -> Forest:
+def _compare(sig: np.ndarray, sides: np.ndarray, label: np.ndarray, least: tuple[int, ...], verify=None) -> Forest:
     """A forest of the pairs of a task that survive and (if there is one) that ``verify`` confirms."""
-    forest = Forest(len(sig))
+    forest = Forest(label)
     order = np.arange(len(sig))
-    for i in order:
-        others = order[i + 1 :] if one else order[sides != sides[i]] if sides[i] == 0 else order[:0]
+    two = bool(sides.any())
+    other_side = order[sides == 1]
+    for i in order[sides == 0]:
+        others = other_side if two else order[i + 1 :]
         others = others[forest.label[others] != forest.label[i]]
         for j in survivors(sig, i, others, least) if len(others) else ():
             if forest.label[i] != forest.label[j] and (verify is None or verify(i, j)):
@@ -214,83 +253,73 @@ def _edges(rows: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
-def candidate_edges(classes: DataFrame, threshold: float) -> DataFrame:
-    """A forest of each bucket's pairs that the posterior doesn't rule out."""
-    least = least_matches(threshold)
-    members = classes.select("id", F.explode("bands").alias("bucket"), F.lit(HASHES).alias("w"))
-    members = _blocks(members, "bucket", "w").select("task", "side", "one", "id")
-    rows = members.join(classes.select("id", "small"), "id").repartition("task").sortWithinPartitions("task", "id")
+def _each_task(rows: DataFrame, look) -> DataFrame:
+    """The links that ``look`` (batches of a task, ids, sides, labels to a Forest) finds in each task."""
 
     def run(batches):
         out = []
         for held in _tasks(batches):
-            n = sum(b.num_rows for b in held)
-            if n < 2:
+            ids, sides, label = (np.concatenate([b.column(c).to_numpy() for b in held]) for c in ("id", "side", "label"))
+            if len(ids) < 2:
                 continue
-            ids = np.concatenate([b.column("id").to_numpy() for b in held])
-            sig = np.frombuffer(b"".join(x for b in held for x in b.column("small").to_pylist()), np.uint8).reshape(n, HASHES)
-            sides = np.concatenate([b.column("side").to_numpy() for b in held])
-            forest = _compare(sig, sides, held[0].column("one")[0].as_py(), least)
-            out += [(int(ids[i]), int(ids[j])) for i, j in forest.links]
+            out += [(int(ids[i]), int(ids[j])) for i, j in look(held, sides, label).links]
             if len(out) > 20000:
                 yield _edges(out)
                 out = []
         if out:
             yield _edges(out)
 
-    return rows.mapInArrow(run, EDGES)
+    return rows.repartition("task").sortWithinPartitions("task", "id").mapInArrow(run, EDGES)
+
+
+def candidate_edges(classes: DataFrame, threshold: float) -> DataFrame:
+    """Links that connect all members of each bucket whose pairs the posterior doesn't rule out."""
+    least = least_matches(threshold)
+
+    def look(held, sides, label):
+        sig = np.frombuffer(b"".join(x for b in held for x in b.column("small").to_pylist()), np.uint8).reshape(len(sides), HASHES)
+        return _compare(sig, sides, label, least)
 
+    members = classes.select(F.explode("bands").alias("grp"), "id", F.lit(HASHES).alias("w"))
+    return links(members, classes.select("id", "small"), lambda rows: _each_task(rows, look))
 
-def verified_edges(texts: DataFrame, size: int, threshold: float, percent: tuple[int, int] | None = None) -> DataFrame:
-    """texts (id, grp, text) to a forest of each group's links, verified on full sets: |A and B| * den >= |A or B| * num."""
+
+def verified_edges(members: DataFrame, texts: DataFrame, size: int, threshold: float, percent: tuple[int, int] | None = None) -> DataFrame:
+    """Links that connect all of each group's (grp, id, w) pairs verified on full sets: |A and B| * den >= |A or B| * num."""
     num, den = percent or (round(threshold * 1000), 1000)
     least = least_matches(threshold, 1 << 32)
-    members = _blocks(texts.withColumn("w", F.octet_length("text")), "grp", "w").select("task", "side", "one", "id", "text")
-    rows = members.repartition("task").sortWithinPartitions("task", "id")
 
-    def run(batches):
-        out = []
-        for held in _tasks(batches):
-            ids = np.concatenate([b.column("id").to_numpy() for b in held])
-            if len(ids) < 2:
-                continue
-            sets = [s for b in held for s in all_sets(b.column("text"), size)]
-            sides = np.concatenate([b.column("side").to_numpy() for b in held])
-
-            def verify(i, j, sets=sets):
-                x, y = sets[i], sets[j]
-                if den * min(len(x), len(y)) < num * max(len(x), len(y)):
-                    return False
-                both = np.concatenate([x, y])
-                both.sort(kind="stable")
-                common = int((both[1:] == both[:-1]).sum())
-                return den * common >= num * (len(x) + len(y) - common)
-
-            forest = _compare(np.stack([signature(s) for s in sets]), sides, held[0].column("one")[0].as_py(), least, verify)
-            out += [(int(ids[i]), int(ids[j])) for i, j in forest.links]
-            if len(out) > 20000:
-                yield _edges(out)
-                out = []
-        if out:
-            yield _edges(out)
+    def look(held, sides, label):
+        sets = [s for b in held for s in all_sets(b.column("text"), size)]
+
+        def verify(i, j):
+            x, y = sets[i], sets[j]
+            if den * min(len(x), len(y)) < num * max(len(x), len(y)):
+                return False
+            both = np.concatenate([x, y])
+            both.sort(kind="stable")
+            common = int((both[1:] == both[:-1]).sum())
+            return den * common >= num * (len(x) + len(y) - common)
+
+        return _compare(np.stack([signature(s) for s in sets]), sides, label, least, verify)
 
-    return rows.mapInArrow(run, EDGES)
+    return links(members, texts, lambda rows: _each_task(rows, look))
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.8, percent: tuple[int, int] | None = None) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (the smallest id that links lead to), kept (it is its component's id)."""
     every = cut(sketches(docs, size, threshold))
     full = every.where("n_shingles > 0 and id is not null")
-    classes = full.groupBy("h1", "h2").agg(F.min(F.struct("id", "small", "bands")).alias("r"))
-    classes = cut(classes.select("h1", "h2", "r.id", "r.small", "r.bands"))
-    groups = components(candidate_edges(classes, threshold)).select("id", F.col("component").alias("grp"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(groups, "id")
-    links = verified_edges(texts, size, threshold, percent)
+    classes = full.groupBy("h1", "h2").agg(F.min(F.struct("id", "w", "small", "bands")).alias("r"))
+    classes = cut(classes.select("h1", "h2", "r.id", "r.w", "r.small", "r.bands"))
+    groups = components(candidate_edges(classes, threshold))
+    groups = cut(groups.join(classes.select("id", "w"), "id").groupBy("id").agg(F.max("component").alias("grp"), F.max("w").alias("w")))
+    verified = verified_edges(groups, docs.select(F.col("doc_id").cast("long").alias("id"), "text"), size, threshold, percent)
     # Rows of one id are one node: their classes meet in it.
     own = full.select("h1", "h2", "id").join(classes.select("h1", "h2", F.col("id").alias("rep")), ["h1", "h2"]).select("id", "rep").distinct()
     again = own.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id")
     merged = own.join(again, "id").select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    found = components(links.union(merged)).select(F.col("id").alias("rep"), "component")
+    found = components(verified.union(merged)).select(F.col("id").alias("rep"), "component")
     by_class = classes.select("h1", "h2", F.col("id").alias("rep")).join(found, "rep", "left").select("h1", "h2", F.coalesce("component", "rep").alias("component"))
     out = every.join(by_class, ["h1", "h2"], "left")
     component = F.when(F.col("n_shingles") > 0, F.when(F.col("id").isNotNull(), F.col("component"))).otherwise(F.col("id"))

@@ -3,6 +3,7 @@ import re
 import numpy as np
 import pytest
 
+from tessera.llm import graph
 from tessera.llm import neardup as N
 from tessera.llm.graph import components
 from tessera.llm.queries import op6_near_duplicates
@@ -53,7 +54,7 @@ def test_odd_rows(spark):
 
 
 def test_large_groups_are_split(spark, monkeypatch):
-    monkeypatch.setattr(N._blocks, "__defaults__", (8, 1 << 20))
+    monkeypatch.setattr(N, "BLOCK", 8)
     rng = np.random.default_rng(4)
     base = [f"w{i}" for i in range(80)]
     rows = []
@@ -65,9 +66,35 @@ def test_large_groups_are_split(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     for threshold, num in ((0.85, 85), (0.7, 70)):
         hold(N.near_duplicates(docs, 3, threshold).collect(), rows, 3, num, 100)
+    monkeypatch.setattr(N, "REPS", 1)
+    hold(N.near_duplicates(docs, 3, 0.85).collect(), rows, 3, 85, 100)
+
+
+def test_rows_of_a_large_group_grow_in_proportion(spark, monkeypatch):
+    monkeypatch.setattr(N, "BLOCK", 16)
+    moved = []
+    each = N._each_task
+    monkeypatch.setattr(N, "_each_task", lambda rows, look: moved.append(rows.count()) or each(rows, look))
+    base = [f"w{i}" for i in range(200)]
+    for n in (60, 240):
+        rows = [(i, " ".join([*base[: i % 199], f"z{i}", *base[i % 199 + 1 :]])) for i in range(n)]
+        moved.append(0)
+        got = N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 0.85).collect()
+        assert {r.component_id for r in got} == {0}
+        moved[:] = [*moved[: moved.index(0)], sum(moved[moved.index(0) :])]
+    assert moved[1] < 6 * moved[0]
+
+
+def test_long_texts(spark):
+    rng = np.random.default_rng(8)
+    w = [f"v{i}" for i in rng.integers(0, 1 << 30, 150000)]
+    rows = [(1, " ".join(w)), (2, " ".join([*w[:1000], "new", *w[1000:]])), (3, " ".join(w[:120000])), (4, "x" * 3_000_000), (5, "X" * 3_000_000 + " y")]
+    hold(N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 0.85).collect(), rows, 3, 85, 100)
 
 
-def test_components(spark):
+@pytest.mark.parametrize("part", [7, 1 << 18])
+def test_components(spark, monkeypatch, part):
+    monkeypatch.setattr(graph, "PART", part)
     rng = np.random.default_rng(1)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (180, 2))] + [(k, k + 1) for k in range(400, 440)]
     label = {x: x for e in edges for x in e}
