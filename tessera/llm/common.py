@@ -132,11 +132,13 @@ class SpanHash:
     """
 
     def __init__(self, data: np.ndarray):
+        """data: bytes, or 64-bit hashes of other symbols, of which spans are hashed just so."""
         n = len(data)
-        coded = _BYTE[data]
+        wide = data.dtype == np.uint64
         self.parts = []
-        for base in _BASES:
+        for base, shift in zip(_BASES, (33, 0), strict=True):
             prefix = np.zeros(n + 1, np.uint64)
+            coded = data >> np.uint64(shift) & _PRIME if wide else _BYTE[data]
             np.cumsum(_less(coded * powers(base, n)), out=prefix[1:])
             self.parts.append((prefix, powers(pow(base, -1, int(_PRIME)), n + 1)))
 

@@ -1,27 +1,33 @@
-"""Repeated passages: per-shard suffix arrays, common prefixes, and cross-shard merging.
+"""Repeated passages: per-shard suffix arrays, common prefixes, and shards in which all equal windows meet.
 
-A window is a string of ``LENGTH`` bytes of one text; a byte goes if a window that covers it also starts anywhere else.
+A window is a string of ``LENGTH`` bytes of one text (or of so many of its words); what a window covers goes if that window
+also starts anywhere else (or, if asked for, in any other text).
 
-1. Anchors. In each window the ``GRAM``-byte string with the smallest hash is its anchor (the leftmost of equals), so equal
-   windows have equal anchors at the same place. Neighbouring windows with one anchor form a run. Runs whose anchor occurs
-   nowhere else hold no repeated window and go. Runs with equal bytes are a class, kept once with its multiplicity; this
-   only deals out the work and decides nothing about a window.
+1. Anchors. In each window the string of ``GRAM`` bytes with the smallest hash is its anchor (the leftmost of equals), so
+   equal windows have equal anchors at the same place. Neighbouring windows with one anchor form a run. Runs whose anchor
+   occurs nowhere else hold no repeated window and go. Runs with equal bytes are a class, kept once with its multiplicity;
+   this only deals out the work and decides nothing about a window.
 2. Shards. The bytes of the classes (a run and the LENGTH-1 bytes behind it) are dealt to shards by their anchors, so equal
-   windows meet in a shard. A shard's suffixes are sorted by Larsson-Sadakane refinement: groups of suffixes with equal
-   prefixes are split by the ranks of the suffixes behind those, and only groups that aren't singletons are sorted again.
-   Common prefixes of neighbours follow by Kasai's inequality: a suffix whose preceding byte equals its neighbour's has the
-   preceding common prefix less one, so only the others are compared. Windows whose neighbours share LENGTH bytes, with a
-   multiplicity of two or more together, are repeated.
-3. Merging. An anchor with more bytes than a shard should have is dealt to several shards. From these, the windows that are
-   not yet known as repeated, and one of each kind that is, go by ranges of their digests to merging tasks, sorted; each
-   shard's list is looked up in the list of the others by binary search.
-4. The repeated windows of the classes are carried back to all texts of the classes, and are cut out.
+   windows meet in a shard. An anchor with more bytes than a shard should have (the classes of a group of near copies) is
+   dealt again by second anchors: its windows are split by the anchor's place in them, and all windows with the anchor in
+   an interval of places share the bytes around it, which name the shard. Intervals shrink by 8 with each level, down to
+   single windows, so a group of any size ends up in small shards, with at most 8 rows a level for each run; runs that are
+   equal in that smaller frame are one class again.
+3. A shard's suffixes are sorted by Larsson-Sadakane refinement: groups of suffixes with equal prefixes are split by the
+   ranks of the suffixes behind those, and only groups that aren't singletons are sorted again. Common prefixes of
+   neighbours follow by Kasai's inequality: a suffix whose preceding byte equals its neighbour's has the preceding common
+   prefix less one, so only the others are compared. Windows whose neighbours share LENGTH bytes, with a multiplicity of
+   two or more together, are repeated.
+4. The repeated windows of the classes are carried back to all texts of the classes, and are cut out. No window has its
+   equals in two shards, so shards merge by uniting the byte ranges they found in a text.
 
 Texts are identified by their MD5; rows of equal texts have equal results. Texts are compressed (zstd) when they are moved.
+With ``unit`` words, windows are of words (runs of other bytes than ASCII white space; the space between may differ).
 
 Defined cases: null texts are empty; texts shorter than LENGTH lose nothing; rows repeated with their text, if that is long
-enough, lose all bytes; an empty table gives an empty result; other columns are ignored by ``repeated`` and passed on by
-``without_repeats``. Matches never cross rows.
+enough, lose all bytes (only with ``across``, texts that are equal count as one); texts of over 1 MiB are read in pieces
+that share the bytes of a window, and give the same result; an empty table gives an empty result; other columns are ignored
+by ``repeated`` and passed on by ``without_repeats``. Matches never cross rows.
 """
 
 from __future__ import annotations
@@ -33,16 +39,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE, SpanHash, cut, doc_slices, resplit, text_buffers
+from . import common
+from .common import SpanHash, cut, doc_slices, resplit, text_buffers, words
 
 LENGTH = 400
 GRAM = 100
-#: Bytes of a shard, about, and of one anchor beyond which it is dealt to several shards.
+#: Bytes of a shard, about, and of one anchor beyond which it is dealt again.
 SHARD = 1 << 20
 HOT = 1 << 19
+#: Times that the intervals of a level are smaller than those of the level before.
+FINER = 8
 _LOW = np.uint64((1 << 24) - 1)
+_PLACE, _LEVEL = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
-RUNS = "t1 long, t2 long, anchor long, content long, a int, n int"
+RUNS = "t1 long, t2 long, anchor long, content long, a int, n int, size int, place int"
 
 
 def window_minima(keys: np.ndarray, width: int) -> np.ndarray:
@@ -57,47 +67,161 @@ def window_minima(keys: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(back[: n - width + 1], ahead[width - 1 : n])
 
 
-def runs(data: np.ndarray, offsets: np.ndarray, length: int, gram: int):
-    """(row, first window, windows, anchor hash, content hash) of each run of a slice of texts; windows from the row's start."""
+class Symbols:
+    """Bytes, or words, of a slice of texts: where they start and end, the rows' bounds, and hashes of spans of them."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, unit: str):
+        self.bytes = SpanHash(data)
+        if unit == "bytes":
+            self.starts, self.bounds, self.span = np.arange(len(data)), offsets, self.bytes
+            self.ends = self.starts + 1
+        else:
+            self.starts, self.ends, self.bounds = words(data, offsets)
+            self.hashes = self.bytes(self.starts, self.ends)
+            self.span = SpanHash(self.hashes)
+
+    def content(self, first, after, place) -> np.ndarray:
+        """Hash of the bytes from a symbol to before another, with a place in them."""
+        return self.bytes(self.starts[first], self.ends[after - 1]) ^ place.astype(np.uint64) * _PLACE
+
+
+def runs(data: np.ndarray, offsets: np.ndarray, length: int, gram: int, unit: str = "bytes"):
+    """(row, first byte from the row's start, windows, bytes, anchor's place in symbols, anchor hash, content hash) of runs."""
     empty = np.zeros(0, np.int64)
-    if len(data) < length:
-        return empty, empty, empty, empty.view(np.uint64), empty.view(np.uint64)
-    span = SpanHash(data)
-    at = np.arange(len(data) - gram + 1)
-    grams = span(at, at + gram)
+    x = Symbols(data, offsets, unit)
+    if len(x.starts) < length:
+        return (empty,) * 5 + (empty.view(np.uint64),) * 2
+    at = np.arange(len(x.starts) - gram + 1)
+    grams = x.span(at, at + gram)
     where = window_minima((grams & ~_LOW) | at.astype(np.uint64), length - gram + 1) & _LOW
-    row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[: len(where)]
-    inside = offsets[row + 1] - np.arange(len(where)) >= length
+    row = np.repeat(np.arange(len(offsets) - 1), np.diff(x.bounds))[: len(where)]
+    inside = x.bounds[row + 1] - np.arange(len(where)) >= length
     new = np.ones(len(where), bool)
     new[1:] = (where[1:] != where[:-1]) | (row[1:] != row[:-1])
     end = np.ones(len(where), bool)
     end[:-1] = new[1:] | ~inside[1:]
     first, last = np.flatnonzero(new & inside), np.flatnonzero(end & inside)
-    place = where[first].astype(np.int64)
-    content = span(first, last + length) ^ (place - first).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return row[first], first - offsets[row[first]], last - first + 1, grams[place], content
+    place = where[first].astype(np.int64) - first
+    after = last + length
+    return row[first], x.starts[first] - offsets[row[first]], last - first + 1, x.ends[after - 1] - x.starts[first], place, grams[first + place], x.content(first, after, place)
+
+
+def long_pieces(data: np.ndarray, length: int, unit: str, size: int):
+    """(first byte, byte after the last) of pieces of about ``size`` bytes of a long text; each window is in one piece."""
+    a = 0
+    while a < len(data):
+        piece, more = size, size
+        if unit == "bytes":
+            yield a, min(len(data), a + piece + length - 1)
+            a += piece
+            continue
+        while True:
+            z = min(len(data), a + piece + more)
+            starts, ends, _ = words(data[a:z], np.array([0, z - a]))
+            whole = len(ends) - (z < len(data) and len(ends) and ends[-1] == z - a)
+            following = max(1, int(np.searchsorted(starts, piece)))  # the word with which the next piece starts
+            if z == len(data) or following + length - 1 <= whole:
+                break
+            more *= 2
+        if following >= len(starts):
+            yield a, len(data)
+            return
+        yield a, a + int(ends[min(following + length - 2, len(ends) - 1)])
+        a += int(starts[following])
+
+
+def _columns(parts, names: str, types: dict):
+    """A record batch from lists of arrays of a schema's columns."""
+    fields = [x.split() for x in names.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(types[t], copy=False)) for c, (_, t) in zip(zip(*parts, strict=True), fields, strict=True)], [f for f, _ in fields])
+
+
+_TYPES = {"long": np.int64, "int": np.int32}
+
+
+def find_runs(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, unit: str = "bytes") -> DataFrame:
+    limit = common.SLICE
 
-
-def find_runs(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     def run(batches):
         for b in batches:
             data, offsets = text_buffers(b.column("text"))
-            made = []
-            for i, j in doc_slices(offsets):
+            made, held = [], 0
+            for i, j in doc_slices(offsets, limit):
                 digests = np.array([np.frombuffer(hashlib.md5(data[a:z]).digest(), "<i8") for a, z in zip(offsets[i:j], offsets[i + 1 : j + 1], strict=True)])
-                for lo in range(0, int(offsets[j] - offsets[i]), SLICE) if j == i + 1 else (0,):  # long texts in pieces of whole windows
-                    a = int(offsets[i]) + lo
-                    z = min(int(offsets[j]), a + SLICE + length - 1) if j == i + 1 else int(offsets[j])
-                    local = np.array([0, z - a]) if j == i + 1 else offsets[i : j + 1] - a
-                    row, first, n, anchor, content = runs(data[a:z], local, length, gram)
+                whole = data[offsets[i] : offsets[j]]
+                long = j == i + 1 and len(whole) > limit
+                for a, z in long_pieces(whole, length, unit, limit) if long else ((0, len(whole)),):
+                    row, first, n, size, place, anchor, content = runs(whole[a:z], np.array([0, z - a]) if long else offsets[i : j + 1] - offsets[i], length, gram, unit)
                     if len(row):
-                        made.append((digests[row, 0], digests[row, 1], anchor.view(np.int64), content.view(np.int64), (first + lo).astype(np.int32), n.astype(np.int32)))
+                        made.append((digests[row, 0], digests[row, 1], anchor.view(np.int64), content.view(np.int64), first + a, n, size, place))
+                        held += len(row)
+                if held > 100000:
+                    yield _columns(made, RUNS, _TYPES)
+                    made, held = [], 0
             if made:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*made, strict=True)], [x.split()[0] for x in RUNS.split(", ")])
+                yield _columns(made, RUNS, _TYPES)
 
     return docs.select("text").mapInArrow(run, RUNS)
 
 
+def regions_of(members: DataFrame, texts: DataFrame, names: list[str]) -> DataFrame:
+    """Texts (t1, t2, z) that members are in, with a list of these (their ``names``, and a and size)."""
+    per_text = members.groupBy("t1", "t2").agg(F.collect_list(F.struct(*names, "a", "size")).alias("regions"))
+    return per_text.join(texts, ["t1", "t2"])
+
+
+def _slices(batches, carry: list[str], limit: int):
+    """From batches of ``regions_of``: the regions, their rows of ``carry``, and the regions' bytes, about ``limit`` at once."""
+    import zstandard
+
+    d = zstandard.ZstdDecompressor()
+    for b in batches:
+        regions = b.column("regions")
+        flat, ends = regions.flatten(), np.concatenate([[0], np.cumsum(regions.value_lengths().to_numpy())])
+        a, size = flat.field("a").to_numpy(), flat.field("size").to_numpy()
+        first, rows, parts, held = 0, [], [], 0
+        for i, z in enumerate(b.column("z")):
+            text = d.decompress(z.as_py())
+            for k in range(ends[i], ends[i + 1]):
+                parts.append(text[a[k] : a[k] + size[k]])
+                rows.append(i)
+                held += len(parts[-1])
+                if held > limit or k + 1 == ends[-1]:
+                    yield flat.slice(first, k + 1 - first), [b.column(c).take(pa.array(rows)) for c in carry], parts
+                    first, rows, parts, held = k + 1, [], [], 0
+
+
+def finer_runs(regions: DataFrame, length: int, gram: int, unit: str, level: int) -> DataFrame:
+    """The runs of ``regions`` dealt again by the place of their anchor: windows with it in an interval of places have in
+    common the symbols that all windows of that interval cover, which are their new anchor."""
+    places = length - gram + 1
+    each = max(1, places // FINER**level)
+
+    def run(batches):
+        for flat, (t1, t2), parts in _slices(batches, ["t1", "t2"], common.SLICE):
+            offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+            x = Symbols(np.frombuffer(b"".join(parts), np.uint8), offsets, unit)
+            place, n = flat.field("place").to_numpy().astype(np.int64), flat.field("n").to_numpy().astype(np.int64)
+            least = (place - n + 1) // each
+            count = place // each - least + 1
+            row = np.repeat(np.arange(len(n)), count)
+            k = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count) + least[row]
+            first = place[row] - np.minimum(place[row], (k + 1) * each - 1)
+            last = place[row] - np.maximum(place[row] - n[row] + 1, k * each)
+            at = x.bounds[row] + place[row]
+            key = x.span(at - k * each, at - np.minimum((k + 1) * each, places) + 1 + length)
+            anchor = common.mix(key + (k + 1).astype(np.uint64) * _PLACE + np.uint64(level) * _LEVEL)
+            own, after = x.bounds[row] + first, x.bounds[row] + last + length
+            begin = x.starts[own]
+            made = (
+                t1.to_numpy()[row], t2.to_numpy()[row], anchor.view(np.int64), x.content(own, after, place[row] - first).view(np.int64),
+                flat.field("a").to_numpy()[row] + begin - offsets[row], last - first + 1, x.ends[after - 1] - begin, place[row] - first, flat.field("times").to_numpy()[row],
+            )
+            yield _columns([made], f"{RUNS}, times long", _TYPES)
+
+    return regions.select("t1", "t2", "regions", "z").mapInArrow(run, f"{RUNS}, times long")
+
+
 def packed(docs: DataFrame, with_id: bool) -> DataFrame:
     """(doc_id, t1, t2, z): the texts' digests and their zstd-compressed bytes."""
 
@@ -119,12 +243,15 @@ def packed(docs: DataFrame, with_id: bool) -> DataFrame:
 
 
 def suffix_array(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted suffixes of some bytes and their ranks, by Larsson-Sadakane refinement from the first 8 bytes on."""
-    n = len(text)
-    wide = np.concatenate([text, np.zeros(8, np.uint8)])
-    key = np.zeros(n, np.uint64)
-    for k in range(8):
-        key = key << np.uint64(8) | wide[k : k + n].astype(np.uint64)
+    """Sorted suffixes of some bytes (or numbers) and their ranks, by Larsson-Sadakane refinement from the first 8 bytes
+    (or the first number) on."""
+    n, in_bytes = len(text), text.dtype == np.uint8
+    key = text
+    if in_bytes:
+        wide = np.concatenate([text, np.zeros(8, np.uint8)])
+        key = np.zeros(n, np.uint64)
+        for k in range(8):
+            key = key << np.uint64(8) | wide[k : k + n].astype(np.uint64)
     sa = np.argsort(key, kind="stable")
     same = key[sa]
     head = np.ones(n, bool)
@@ -133,8 +260,8 @@ def suffix_array(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     rank = np.zeros(n + 1, np.int64)  # the empty suffix ranks 0; others by the first place of their group
     rank[sa] = np.maximum.accumulate(np.where(head, np.arange(1, n + 1), 0))
     # The zeros behind the text don't tell the last suffixes from equal ones with real zeros: those are told apart by length.
-    h = 8
-    if n:
+    h = 8 if in_bytes else 1
+    if n and in_bytes:
         tail = np.arange(max(0, n - 8), n)
         rank, sa, head = _settle_tail(text, sa, rank, head, tail)
     open_ = np.flatnonzero(~(head & np.append(head[1:], True)))
@@ -188,7 +315,7 @@ def common_prefixes(text: np.ndarray, sa: np.ndarray, most: int) -> np.ndarray:
     start = np.flatnonzero(bound)
     length = np.zeros(len(start), np.int64)
     go = np.flatnonzero(before[start] >= 0)
-    full = np.concatenate([text, np.zeros(16, np.uint8)])
+    full = np.concatenate([text, np.zeros(16, text.dtype)])
     while len(go):
         i, j = start[go] + length[go], before[start[go]] + length[go]
         step = np.arange(16)
@@ -204,151 +331,119 @@ def common_prefixes(text: np.ndarray, sa: np.ndarray, most: int) -> np.ndarray:
     return np.minimum(np.maximum(plcp, 0), most)[sa]
 
 
-def window_kinds(text: np.ndarray, is_window: np.ndarray, times: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Windows of a shard in suffix order, the number of each one's kind, and whether each kind is repeated."""
+def window_kinds(text: np.ndarray, is_window: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Windows of a shard in suffix order, and the number of each one's kind."""
     sa, _ = suffix_array(text)
     kind = np.cumsum(common_prefixes(text, sa, length) < length) - 1
     at = is_window[sa]
     sa, kind = sa[at], kind[at]
-    kind = np.cumsum(np.append(True, kind[1:] != kind[:-1])) - 1 if len(kind) else kind
-    return sa, kind, np.bincount(kind, times[sa]) >= 2
+    return sa, np.cumsum(np.append(True, kind[1:] != kind[:-1])) - 1 if len(kind) else kind
 
 
-FOUND = "anchor long, content long, lo int, hi int, d1 long, d2 long, block int"
+FOUND = "anchor long, content long, lo int, hi int"
 
 
-def _shards(pieces: DataFrame, length: int) -> DataFrame:
-    """Pieces (shard, hot, anchor, content, times, n, bytes) to FOUND: repeated windows [lo, hi) of classes, and for hot
-    anchors digests of windows: with lo and hi where it is still open whether they are repeated, else without."""
+def _shards(pieces: DataFrame, length: int, unit: str, across: bool) -> DataFrame:
+    """Pieces (shard, anchor, content, times, text, n, bytes) to FOUND: byte ranges of classes that repeated windows cover."""
     from .neardup import _tasks
 
     def solve(rows: list[pa.RecordBatch]):
         table = pa.Table.from_batches(rows)
         raw, offsets = text_buffers(table["bytes"])
-        n, times = table["n"].to_numpy(), table["times"].to_numpy()
-        anchor, content = table["anchor"].to_numpy(), table["content"].to_numpy()
-        piece = np.repeat(np.arange(len(n)), np.diff(offsets))
-        local = np.arange(len(raw)) - offsets[piece]
-        is_window = local < n[piece]
-        sa, kind, dup = window_kinds(raw, is_window, times[piece], length)
-        repeated = np.zeros(len(raw) + 1, bool)
+        n, anchor, content = (table[c].to_numpy() for c in ("n", "anchor", "content"))
+        if unit == "bytes":
+            symbols, bounds = raw, offsets
+            starts = np.arange(len(raw))
+            ends = starts + 1
+        else:
+            x = Symbols(raw, offsets, unit)
+            starts, ends, bounds = x.starts, x.ends, x.bounds
+            symbols = np.unique(x.hashes, return_inverse=True)[1]
+        piece = np.repeat(np.arange(len(n)), np.diff(bounds))
+        local = np.arange(len(symbols)) - bounds[piece]
+        sa, kind = window_kinds(symbols, local < n[piece], length)
+        if across:  # a kind that two texts have: one class has more than one, or classes have different ones
+            text = table["text"].to_numpy()[piece[sa]]
+            firsts = np.flatnonzero(np.append(True, kind[1:] != kind[:-1])) if len(kind) else kind
+            dup = np.zeros(len(firsts), bool)
+            if len(firsts):
+                dup = (np.minimum.reduceat(text, firsts) != np.maximum.reduceat(text, firsts)) | np.logical_or.reduceat(table["times"].to_numpy()[piece[sa]] > 1, firsts)
+        else:
+            dup = np.bincount(kind, table["times"].to_numpy()[piece[sa]]) >= 2
+        repeated = np.zeros(len(symbols) + 1, bool)
         repeated[sa[dup[kind]]] = True
         change = np.flatnonzero(repeated[1:] != repeated[:-1]) + 1
-        edges = np.unique(np.concatenate([change, offsets[:-1], [0]]))
+        edges = np.unique(np.concatenate([change, bounds[:-1], [0]]))
         lo = edges[repeated[edges]]
-        hi = np.minimum(np.append(edges, len(raw))[np.searchsorted(edges, lo, "right")], offsets[piece[lo] + 1]) if len(lo) else lo
+        hi = np.minimum(np.append(edges, len(symbols))[np.searchsorted(edges, lo, "right")], bounds[piece[lo] + 1]) if len(lo) else lo
         p = piece[lo]
-        out = [(anchor[p], content[p], lo - offsets[p], hi - offsets[p], np.zeros(len(p), np.int64), np.zeros(len(p), np.int64), np.full(len(p), -1))]
-        if table["hot"][0].as_py():
-            firsts = np.flatnonzero(np.append(True, kind[1:] != kind[:-1])) if len(kind) else kind
-            place, open_ = sa[firsts], ~dup
-            span = SpanHash(raw)
-            d1 = span(place, place + length).view(np.int64)
-            d2 = (span(place, place + length // 2) * np.uint64(0xC2B2AE3D27D4EB4F) + span(place + length // 2, place + length)).view(np.int64)
-            p, at = piece[place], local[place]
-            block = table["shard"][0].as_py() % (1 << 31)
-            out.append((anchor[p], content[p], np.where(open_, at, -1), np.where(open_, at + 1, -1), d1, d2, np.full(len(p), block)))
-        return out
+        return anchor[p], content[p], starts[lo] - offsets[p], ends[hi + length - 2] - offsets[p]
 
     def run(batches):
         for rows in _tasks(batches, "shard"):
-            for part in solve(rows):
-                for k in range(0, len(part[0]), 50000):
-                    c = [x[k : k + 50000] for x in part]
-                    kinds = [np.int64, np.int64, np.int32, np.int32, np.int64, np.int64, np.int32]
-                    yield pa.RecordBatch.from_arrays([pa.array(x.astype(t)) for x, t in zip(c, kinds, strict=True)], [x.split()[0] for x in FOUND.split(", ")])
+            part = solve(rows)
+            for k in range(0, len(part[0]), 50000):
+                yield _columns([[x[k : k + 50000] for x in part]], FOUND, _TYPES)
 
     return pieces.repartition("shard").sortWithinPartitions("shard").mapInArrow(run, FOUND)
 
 
-def _merge(found: DataFrame) -> DataFrame:
-    """Open windows of hot anchors that occur in another shard too, by binary search in sorted digests."""
-    opened = found.where("block >= 0").select("anchor", "content", "lo", "hi", "d1", "d2", "block")
-    # A window's digests meet in one task, one row from each shard at most.
-    rows = opened.repartition("d1").sortWithinPartitions("d1", "d2", "block")
-
-    def run(batches):
-        held = None
-        for b in batches:
-            held = b if held is None else pa.Table.from_batches([held, b]).combine_chunks().to_batches()[0]
-            d1 = held.column("d1").to_numpy()
-            whole = int(np.searchsorted(d1, d1[-1], "left")) if len(d1) else 0  # the last digest may go on in the next batch
-            if whole:
-                yield from look(held.slice(0, whole))
-                held = held.slice(whole)
-        if held is not None:
-            yield from look(held)
-
-    def look(b):
-        d = np.rec.fromarrays([b.column("d1").to_numpy(), b.column("d2").to_numpy()])
-        keys = np.unique(d)
-        at = np.searchsorted(keys, d)
-        again = np.bincount(at, minlength=len(keys))[at] > 1
-        keep = again & (b.column("lo").to_numpy() >= 0)
-        if keep.any():
-            c = b.filter(pa.array(keep))
-            yield pa.RecordBatch.from_arrays([c.column(x) for x in ("anchor", "content", "lo", "hi")], ["anchor", "content", "lo", "hi"])
-
-    return rows.mapInArrow(run, "anchor long, content long, lo int, hi int")
-
-
-def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int | None = None, shard: int = SHARD, hot: int = HOT, store_runs: bool = True) -> DataFrame:
+def repeated_spans(
+    docs: DataFrame, length: int = LENGTH, gram: int | None = None, shard: int = SHARD, hot: int = HOT, store_runs: bool = True, unit: str = "bytes", across: bool = False
+) -> DataFrame:
     """(t1, t2, spans): for texts with repeated windows, the byte ranges [lo, hi) these cover (not yet merged).
 
-    Short windows make many runs: without ``store_runs`` these are found a second time instead of being written.
+    Short windows make many runs: without ``store_runs`` these are found a second time instead of being written. With
+    ``across``, a window is repeated only if another text has it too.
     """
     gram = gram or max(1, length // 4)
-    every = find_runs(docs, length, gram)
+    every = find_runs(docs, length, gram, unit)
     every = cut(every) if store_runs else every
-    often = every.groupBy("anchor").agg(F.count("*").alias("k")).where("k > 1").select("anchor")
-    members = cut(every.join(resplit(often), "anchor"))
-    classes = members.groupBy("anchor", "content", "n").agg(F.count("*").alias("times"), F.min(F.struct("t1", "t2", "a")).alias("r"))
-    classes = cut(classes.select("anchor", "content", "n", "times", "r.t1", "r.t2", "r.a"))
-    weight = F.col("n") + length - 1
-    per_anchor = classes.groupBy("anchor").agg(F.sum(weight).alias("w"))
-    total = classes.agg(F.sum(weight)).first()[0] or 0
-    shards = max(1, -(-total // shard))
-    heavy = per_anchor.where(F.col("w") > hot).select("anchor", F.ceil(F.col("w") / hot).cast("int").alias("blocks"))
-    dealt = classes.join(resplit(heavy), "anchor", "left")
-    block = F.pmod(F.xxhash64("content", F.lit(3)), F.col("blocks"))
-    dealt = dealt.select(
-        "anchor", "content", "n", "times", "t1", "t2", "a", F.col("blocks").isNotNull().alias("hot"),
-        F.when(F.col("blocks").isNull(), F.pmod(F.xxhash64("anchor"), F.lit(shards))).otherwise(F.xxhash64("anchor", block)).alias("shard"),
-    )
     texts = packed(docs, False).groupBy("t1", "t2").agg(F.first("z").alias("z"))
-    per_text = dealt.groupBy("t1", "t2").agg(F.collect_list(F.struct("shard", "hot", "anchor", "content", "times", "n", "a")).alias("regions"))
-    joined = per_text.join(texts, ["t1", "t2"]).select("regions", "z")
+    members = _often(every, every.withColumn("times", F.lit(1).cast("long")))
+    settled, level = [], 0
+    while True:
+        text = F.struct("t1", "t2")
+        classes = members.groupBy("anchor", "content", "n", "size", "place").agg(F.sum("times").alias("times"), F.min(F.struct("t1", "t2", "a")).alias("r"), (F.min(text) != F.max(text)).alias("several"))
+        classes = cut(classes.select("anchor", "content", "n", "size", "place", F.when(F.col("several"), F.greatest("times", F.lit(2))).otherwise(F.lit(1) if across else F.col("times")).cast("long").alias("times"), "r.t1", "r.t2", "r.a"))
+        heavy = cut(classes.groupBy("anchor").agg(F.sum("size").alias("w")).where(F.col("w") > hot).select("anchor"))
+        if FINER**level >= length - gram + 1 or heavy.isEmpty():
+            settled.append((members, classes))
+            break
+        settled.append((members.join(resplit(heavy), "anchor", "left_anti"), classes.join(resplit(heavy), "anchor", "left_anti")))
+        level += 1
+        same = ["t1", "t2", "a", "size", "n", "place"]
+        again = members.join(resplit(heavy), "anchor").groupBy(*same).agg(F.sum("times").alias("times"))
+        dealt = cut(finer_runs(regions_of(again, texts, ["n", "place", "times"]), length, gram, unit, level))
+        members = _often(dealt, dealt)
+    members, classes = settled[0]
+    for more, others in settled[1:]:
+        members, classes = members.unionByName(more), classes.unionByName(others)
+    total = classes.agg(F.sum("size")).first()[0] or 0
+    shards = max(1, -(-total // shard))
+    dealt = classes.select("anchor", "content", "n", "times", F.xxhash64("t1", "t2").alias("text"), "t1", "t2", "a", "size", F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard"))
+    names = ["shard", "anchor", "content", "times", "text", "n"]
 
     def slice_(batches):
-        import zstandard
+        for flat, _, parts in _slices(batches, [], 8 << 20):
+            yield pa.RecordBatch.from_arrays([*[flat.field(x) for x in names], pa.array(parts, pa.binary())], [*names, "bytes"])
 
-        d = zstandard.ZstdDecompressor()
-        for b in batches:
-            regions = b.column("regions")
-            flat, ends = regions.flatten(), np.concatenate([[0], np.cumsum(regions.value_lengths().to_numpy())])
-            a, n = flat.field("a").to_numpy(), flat.field("n").to_numpy()
-            names = ["shard", "hot", "anchor", "content", "times", "n"]
-            first, parts, held = 0, [], 0
-            for i, z in enumerate(b.column("z")):
-                text = d.decompress(z.as_py())
-                for k in range(ends[i], ends[i + 1]):
-                    parts.append(text[a[k] : a[k] + n[k] + length - 1])
-                    held += len(parts[-1])
-                if held > 8 << 20 or i + 1 == b.num_rows:
-                    some = flat.slice(first, ends[i + 1] - first)
-                    yield pa.RecordBatch.from_arrays([*[some.field(x) for x in names], pa.array(parts, pa.binary())], [*names, "bytes"])
-                    first, parts, held = ends[i + 1], [], 0
-
-    pieces = joined.mapInArrow(slice_, "shard long, hot boolean, anchor long, content long, times long, n int, bytes binary")
-    found = cut(_shards(pieces, length))
-    known = found.where("block < 0").select("anchor", "content", "lo", "hi").union(_merge(found))
+    pieces = regions_of(dealt, texts, names).select("regions", "z").mapInArrow(slice_, "shard long, anchor long, content long, times long, text long, n int, bytes binary")
+    found = cut(_shards(pieces, length, unit, across))
     own = members.select("t1", "t2", "a", "anchor", "content").distinct()
-    spans = own.join(known, ["anchor", "content"])
-    span = F.struct((F.col("a") + F.col("lo")).alias("lo"), (F.col("a") + F.col("hi") + F.lit(length - 1)).alias("hi"))
+    spans = own.join(found, ["anchor", "content"])
+    span = F.struct((F.col("a") + F.col("lo")).alias("lo"), (F.col("a") + F.col("hi")).alias("hi"))
     return spans.groupBy("t1", "t2").agg(F.collect_list(span).alias("spans"))
 
 
-RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+def _often(every: DataFrame, members: DataFrame) -> DataFrame:
+    """The members whose anchor occurs more than once in ``every``, cut."""
+    times = F.sum("times") if "times" in every.columns else F.count("*")
+    often = every.groupBy("anchor").agg(times.alias("k")).where("k > 1").select("anchor")
+    return cut(members.join(resplit(often), "anchor"))
+
+
+RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<struct<start:long,stop:long>>"
 
 
 def merged(spans) -> list[tuple[int, int]]:
@@ -370,7 +465,7 @@ def kept(text: bytes, spans: list[tuple[int, int]]) -> bytes:
 
 
 def repeated(docs: DataFrame, length: int = LENGTH, **options) -> DataFrame:
-    """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
+    """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, removed (the byte ranges that go)."""
     rows = packed(docs, True).join(repeated_spans(docs, length, **options), ["t1", "t2"], "left").select("doc_id", "z", "spans")
 
     def run(batches):
@@ -382,9 +477,9 @@ def repeated(docs: DataFrame, length: int = LENGTH, **options) -> DataFrame:
             for doc, z, spans in zip(b.column("doc_id").to_pylist(), b.column("z"), b.column("spans"), strict=True):
                 text = d.decompress(z.as_py())
                 gone = merged([(s["lo"], s["hi"]) for s in spans.as_py() or ()])
-                out.append((doc, len(text), sum(hi - lo for lo, hi in gone), len(gone), hashlib.sha256(kept(text, gone)).hexdigest()))
+                out.append((doc, len(text), sum(hi - lo for lo, hi in gone), len(gone), hashlib.sha256(kept(text, gone)).hexdigest(), [{"start": lo, "stop": hi} for lo, hi in gone]))
             if out:
-                kinds = [pa.int64()] * 4 + [pa.string()]
+                kinds = [*[pa.int64()] * 4, pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], [x.split()[0] for x in RESULT.split(", ")])
 
     return rows.mapInArrow(run, RESULT)
