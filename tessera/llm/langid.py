@@ -5,7 +5,7 @@ ASCII punctuation and digits folded to one boundary byte; each is hashed to one
 table. A document is the average of its subwords' embeddings; a linear softmax over it gives the languages. Both layers
 are trained by mini-batch stochastic gradient descent in numpy on the driver.
 
-Training is bounded: about ``SAMPLE`` labelled documents of each language, chosen by a hash of the id, each as the
+Training is bounded: about ``SAMPLE`` labelled documents of each language (of which a table may have ``LANGUAGES`` at most), chosen by a hash of the id, each as the
 counts of its hashed subwords over the whole text, so the driver gets at most ``SAMPLE * languages * BUCKETS`` counts,
 however long the texts are. A quarter of the sample is held back from training for calibration: one temperature is fitted
 on it, and rejection is fitted to it: a text is rejected if the calibrated probability of its best language is under the
@@ -32,6 +32,7 @@ from .common import SLICE, fold, text_buffers
 
 #: Documents of each language that training and calibration take, about.
 SAMPLE = 800
+LANGUAGES = 400
 BUCKETS = 1 << 15
 NGRAMS = (2, 3, 4)
 DIM = 16
@@ -97,7 +98,7 @@ def _counts(column: pa.Array) -> tuple[list[np.ndarray], list[np.ndarray]]:
             got, inside = subwords(data[:b], lo, hi, np.full(hi - lo, b))
             total += np.bincount(got[inside], minlength=BUCKETS)
         at = np.flatnonzero(total)
-        buckets.append(at.astype(np.int32))
+        buckets.append(at.astype(np.int16))
         counts.append((total[at] / max(1, total.sum())).astype(np.float32))
     return buckets, counts
 
@@ -106,9 +107,11 @@ def train(docs: DataFrame, text: str = "text", label: str = "lang", usable: Colu
     """Fit on a bounded sample of the rows of ``docs`` with a label and ``usable``."""
     rows = docs.where(F.col(label).isNotNull() & F.col(text).isNotNull())
     rows = rows.where(usable) if usable is not None else rows
-    sizes = {r[0]: r[1] for r in rows.groupBy(label).count().collect()}
+    sizes = {r[0]: r[1] for r in rows.groupBy(label).count().limit(LANGUAGES + 1).collect()}
     if not sizes:
         return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0), 1.0, 0.0)
+    if len(sizes) > LANGUAGES:
+        raise ValueError(f"{len(sizes)} languages; the bound of the sample is {LANGUAGES}")
     names = sorted(sizes)
     chance = F.coalesce(*[F.when(F.col(label) == x, F.lit(min(1.0, sample / sizes[x]))) for x in names])
     draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
@@ -117,16 +120,21 @@ def train(docs: DataFrame, text: str = "text", label: str = "lang", usable: Colu
     def features(batches):
         for b in batches:
             buckets, counts = _counts(b.column("x"))
-            yield pa.RecordBatch.from_arrays([b.column("y"), b.column("draw"), pa.array(buckets, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.float32()))], ["y", "draw", "at", "c"])
+            yield pa.RecordBatch.from_arrays([b.column("y"), b.column("draw"), pa.array(buckets, pa.list_(pa.int16())), pa.array(counts, pa.list_(pa.float32()))], ["y", "draw", "at", "c"])
 
-    got = picked.mapInArrow(features, "y string, draw double, at array<int>, c array<float>").toArrow().sort_by([("draw", "ascending"), ("y", "ascending")])
+    got = picked.mapInArrow(features, "y string, draw double, at array<smallint>, c array<float>").toArrow().combine_chunks()
+    y = np.array([names.index(y) for y in got["y"].to_pylist()], np.int64)
+    order = np.lexsort((y, got["draw"].to_numpy()))
     at, c = got["at"].combine_chunks(), got["c"].combine_chunks()
     ends = at.offsets.to_numpy().astype(np.int64)
-    return fit(at.values.to_numpy(), c.values.to_numpy(), ends, np.array([names.index(y) for y in got["y"].to_pylist()]), names, seed)
+    model = fit(at.values.to_numpy(), c.values.to_numpy(), ends[:-1][order], ends[1:][order], y[order], names, seed)
+    del got, at, c
+    pa.default_memory_pool().release_unused()  # the driver keeps the model only
+    return model
 
 
-def fit(at: np.ndarray, weight: np.ndarray, ends: np.ndarray, y: np.ndarray, names: list[str], seed: int = 1) -> Model:
-    """Train on rows of averaged subword counts: at/weight[ends[i]:ends[i+1]] are a row's buckets and their shares."""
+def fit(at: np.ndarray, weight: np.ndarray, starts: np.ndarray, ends: np.ndarray, y: np.ndarray, names: list[str], seed: int = 1) -> Model:
+    """Train on rows of averaged subword counts: at/weight[starts[i]:ends[i]] are row i's buckets and their shares."""
     rng = np.random.default_rng(seed)
     n, k = len(y), len(names)
     emb = rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32)
@@ -137,13 +145,10 @@ def fit(at: np.ndarray, weight: np.ndarray, ends: np.ndarray, y: np.ndarray, nam
     steps, total = 0, max(1, EPOCHS * -(-len(fitted) // BATCH))
     for _ in range(EPOCHS):
         for part in np.array_split(rng.permutation(fitted), max(1, -(-len(fitted) // BATCH))):
-            spans = [np.arange(ends[i], ends[i + 1]) for i in part]
-            lens = np.array([len(s) for s in spans])
-            idx = np.concatenate(spans)
-            a, q = at[idx], weight[idx][:, None]
-            row = np.repeat(np.arange(len(part)), lens)
-            h = np.zeros((len(part), DIM), np.float32)
-            np.add.at(h, row, emb[a] * q)
+            share = np.zeros((len(part), BUCKETS), np.float32)
+            for r, i in enumerate(part):
+                share[r, at[starts[i] : ends[i]]] = weight[starts[i] : ends[i]]
+            h = share @ emb
             z = h @ w + b
             p = np.exp(z - z.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
@@ -153,11 +158,11 @@ def fit(at: np.ndarray, weight: np.ndarray, ends: np.ndarray, y: np.ndarray, nam
             w -= rate * (h.T @ p)
             b -= rate * p.sum(0)
             # A bucket's share of a text is small, so its row moves by a rate that is larger by the usual share.
-            np.add.at(emb, a, -rate * 20 * q * back[row])
+            emb -= rate * 20 * (share.T @ back)
             steps += 1
     table = (emb @ w).astype(np.float32)
     check = np.flatnonzero(held) if n >= 8 else np.arange(n)
-    z = np.stack([(table[at[ends[i] : ends[i + 1]]] * weight[ends[i] : ends[i + 1], None]).sum(0) + b for i in check])
+    z = np.stack([(table[at[starts[i] : ends[i]]] * weight[starts[i] : ends[i], None]).sum(0) + b for i in check])
     best, temperature = np.inf, 1.0
     for t in np.geomspace(0.05, 4, 60):
         # Laplace's rule for the rate of wrong labels keeps a faultless sample from making all scores 1.
