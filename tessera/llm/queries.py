@@ -89,7 +89,8 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP8_SQL = r"""
 WITH docs AS (
-  SELECT doc_id, coalesce('s' || source, 't') AS q, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS k,
+  SELECT row_number() OVER () AS r, doc_id, coalesce('s' || source, 't') AS q,
+         md5(coalesce(CAST(doc_id AS VARCHAR), '') || ' ' || coalesce(text, '')) AS k,
          CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size
   FROM documents),
 queues AS (SELECT q, CAST(sum(size) AS BIGINT) AS s FROM docs GROUP BY q),
@@ -104,13 +105,18 @@ free AS (SELECT level FROM levels WHERE w * level < cap ORDER BY cap / w, q LIMI
 goals AS (
   SELECT q, s, least(CAST(cap AS DOUBLE), coalesce(w * (SELECT level FROM free), CAST(cap AS DOUBLE))) AS target FROM levels),
 ends AS (
-  SELECT d.*, g.s, g.target, CAST(floor(g.target) AS BIGINT) AS whole,
-         CAST(sum(size) OVER (PARTITION BY d.q ORDER BY k, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS e
-  FROM docs d JOIN goals g ON d.q = g.q)
-SELECT doc_id, size, s AS source_size, target,
-       greatest(0, least(size, whole - (e - size))) + greatest(0, least(size, whole - (s + e - size)))
-       + greatest(0, least(size, whole - (2 * s + e - size))) AS taken
-FROM ends
+  SELECT d.*, g.s, g.target,
+         CAST(sum(size) OVER (PARTITION BY d.q ORDER BY k, r ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS e
+  FROM docs d JOIN goals g ON d.q = g.q),
+packets AS (
+  SELECT r, q, least(64, size - 64 * p) AS words, epoch * s + e - size + least(64 * (p + 1), size) AS upto, target
+  FROM (SELECT *, unnest(range((size + 63) // 64)) AS p FROM (SELECT *, unnest([0, 1, 2]) AS epoch FROM ends WHERE size > 0 AND target > 0))),
+line AS (
+  SELECT r, words, coalesce(CAST(sum(words) OVER (ORDER BY CAST(upto AS DOUBLE) / target, q, upto ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT), 0) AS before
+  FROM packets),
+served AS (
+  SELECT r, CAST(sum(greatest(0, least(words, (SELECT CAST(sum(size) AS BIGINT) FROM docs) - before))) AS BIGINT) AS taken FROM line GROUP BY r)
+SELECT doc_id, size, s AS source_size, target, coalesce(taken, 0) AS taken FROM ends LEFT JOIN served ON ends.r = served.r
 """
 
 

@@ -6,9 +6,9 @@ from . import queries as q
 
 
 def pipeline(spark, sf_dir):
-    import corpus_pipeline
+    from .pipeline import run
 
-    return corpus_pipeline.run(spark, sf_dir)
+    return run(spark, sf_dir)
 
 
 def queries() -> dict:

@@ -27,8 +27,8 @@ def test_query(spark, sf_dir):
     for d, r in zip(docs.orderBy("doc_id").collect(), sorted(got)):
         assert r.taken <= 3 * r.size
         by.setdefault(d.source, [0, r.target])[0] += r.taken
-    assert all(abs(taken - target) < 1 for taken, target in by.values())
-    assert abs(sum(t for _, t in by.values()) - sum(r.size for r in got)) < 1
+    assert all(abs(taken - target) <= M.PACKET for taken, target in by.values())
+    assert sum(t for t, _ in by.values()) == sum(r["size"] for r in got) and abs(sum(t for _, t in by.values()) - sum(r["size"] for r in got)) < 1
     assert rows_of(got) == rows_of(op8_mixing(spark, sf_dir).select("doc_id", "size", "source_size", "target", "taken").collect())
 
 
@@ -48,7 +48,29 @@ def test_stream_of_deliveries(spark):
     out = M.mixed_documents(docs)
     assert out.columns == docs.columns
     rows = out.collect()
-    assert sorted([(r.source, r.text) for r in rows], key=str) == mixed([{"doc_id": a or "", "text": b, "source": c} for a, b, c in ODD])
+    assert sorted([(r.source, r.text) for r in rows], key=str) == mixed([{"doc_id": a, "text": b, "source": c} for a, b, c in ODD])
+
+
+@pytest.mark.parametrize("exact", [1 << 16, 3])
+def test_null_ids_long_texts_and_fine_ranges(spark, monkeypatch, exact):
+    monkeypatch.setattr(M, "EXACT", exact)
+    rows = [(None, f"w{i} " * (1 + i % 7), "x") for i in range(40)] + [(None, "same words", "y")] * 30 + [(9, "long " * 30000, "z"), (10, "k " * 999, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = [(r.doc_id, r["size"], r.source_size, r.target, r.taken) for r in M.mix(docs).collect()]
+    want = sql(docs.withColumn("doc_id", docs.doc_id.cast("string")))
+    assert rows_of([(str(a) if a else a, *b) for a, *b in got]) == rows_of(want)
+    assert sorted([(r.source, r.text) for r in M.mixed_documents(docs).collect()], key=str) == mixed([{"doc_id": a, "text": b, "source": c} for a, b, c in rows])
+
+
+def test_total_budget(spark):
+    docs = spark.createDataFrame([(i, "word " * (1 + i % 90), "abc"[i % 3]) for i in range(300)], "doc_id long, text string, source string")
+    for share in (0.1, 0.5, 1.0):
+        got = M.mix(docs, share=share).collect()
+        assert sum(r.taken for r in got) == int(share * sum(r["size"] for r in got))
+        by = {}
+        for r in got:
+            by.setdefault(r.doc_id % 3, [0, r.target])[0] += r.taken
+        assert all(abs(taken - target) <= M.PACKET for taken, target in by.values())
 
 
 @pytest.mark.parametrize("sizes", [{"a": 10, "b": 10, "c": 10}, {"a": 1, "b": 1000, "c": 3}, {"a": 5}, {"a": 1, "b": 1, "c": 10**6, "d": 1}, {"a": 0, "b": 7}])
