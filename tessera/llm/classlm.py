@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import _FOLD, SpanHash, cut, doc_slices, text_buffers, word_pieces, words
+from .common import _FOLD, SpanHash, cut, doc_slices, mapped, text_buffers, word_pieces, words
 
 COMMON = 1 << 18
 ITEMS = 2048
@@ -68,7 +68,7 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
                 got, first, n = np.unique(h, return_index=True, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(got), pa.array(ending[first]), pa.array(n)], ["word", "ending", "n"])
 
-    parts = docs.select(text).mapInArrow(run, "word long, ending int, n long")
+    parts = mapped(docs.select(text), run, "word long, ending int, n long")
     return parts.groupBy("word", "ending").agg(F.sum("n").alias("count"))
 
 
@@ -115,7 +115,7 @@ def item_bigrams(docs: DataFrame, lookup: Lookup, text: str = "text") -> DataFra
                 pair, n = np.unique(before * m + seq, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(n)], ["pair", "n"])
 
-    return docs.select(text).mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    return mapped(docs.select(text), run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
 
 
 def _xlogx(x: np.ndarray) -> np.ndarray:
@@ -222,7 +222,7 @@ def word_contexts(docs: DataFrame, lookup: Lookup, label: np.ndarray, further: n
         if held:
             yield give(*merge(parts))
 
-    return docs.select(text).mapInArrow(run, "word int, cells binary")
+    return mapped(docs.select(text), run, "word int, cells binary")
 
 
 def best_classes(contexts: DataFrame, now: np.ndarray, g: np.ndarray, classes: int) -> np.ndarray:
@@ -253,7 +253,7 @@ def best_classes(contexts: DataFrame, now: np.ndarray, g: np.ndarray, classes: i
                 like[np.arange(len(a)), a] = (right * ahead).sum(1) + (left * back).sum(1) - n * np.log(np.maximum(cols[a], n))
                 yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(like.argmax(1).astype(np.int32))], ["word", "class"])
 
-    got = contexts.groupBy("word").agg(F.collect_list("cells").alias("cells")).mapInArrow(choose, "word int, class int").toArrow()
+    got = mapped(contexts.groupBy("word").agg(F.collect_list("cells").alias("cells")), choose, "word int, class int").toArrow()
     out = now.copy()
     out[got["word"].to_numpy()] = got["class"].to_numpy()
     return out
@@ -273,7 +273,7 @@ def class_bigrams(docs: DataFrame, lookup: Lookup, label: np.ndarray, k: int, te
         at = np.flatnonzero(g)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(g[at])], ["pair", "n"])
 
-    got = docs.select(text).mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    got = mapped(docs.select(text), run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
     g = np.zeros(k * k)
     g[got["pair"].to_numpy()] = got["n"].to_numpy()
     return g.reshape(k, k)
@@ -426,7 +426,7 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, text: str = "text",
 
     schema = StructType([*StructType.fromDDL(LOCAL).fields, rows.schema["row"]])
     schema["row"].nullable = True
-    parts = rows.mapInArrow(run, schema).join(counts, "word", "left")
+    parts = mapped(rows, run, schema).join(counts, "word", "left")
     c = F.coalesce("count", F.lit(0))
     numerator = F.when(F.col("k") > 0, F.col("k") * F.log10(c + F.lit(0.5))).otherwise(F.lit(0.0))
     sums = parts.groupBy("r1", "r2").agg(

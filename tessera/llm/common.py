@@ -6,6 +6,7 @@ document offsets, and every temporary array is bounded by ``SLICE`` bytes of tex
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Iterator
 
@@ -16,6 +17,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step handles; bounds the temporary arrays of a Python worker.
 SLICE = 1 << 20
+#: Bytes of a batch of rows that Spark gives to Python.
+BATCH_BYTES = 8 << 20
 #: Words are maximal runs of bytes outside this set (ASCII white space).
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]"
@@ -43,6 +46,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def mapped(df: DataFrame, run, schema) -> DataFrame:
+    """``df.mapInArrow(run, schema)`` over batches of at most ``BATCH_BYTES``, whatever the rows' lengths (one row at least).
+
+    The bound is a setting of the session, which is lowered to it if it is larger.
+    """
+    key, spark = "spark.sql.execution.arrow.maxBytesPerBatch", df.sparkSession
+    n, unit = re.match(r"(\d+)\s*([kmgtp]?)", spark.conf.get(key).lower()).groups()
+    if int(n) << 10 * " kmgtp".index(unit or " ") > BATCH_BYTES:
+        spark.conf.set(key, f"{BATCH_BYTES}b")
+    return df.mapInArrow(run, schema)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder of the shared file system."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix, tasks
+from .common import mapped, mix, tasks
 
 SPAN = 16
 KEPT = 64
@@ -168,7 +168,7 @@ def in_order(docs: DataFrame, n: int) -> DataFrame:
             made = b.take(pa.array(rows)) if len(first) else b
             yield pa.RecordBatch.from_arrays([pa.array(to), pa.array(mark), *made.columns], ["_range", "_next", *made.schema.names])
 
-    dealt = docs.mapInArrow(deal, "_range int, _next boolean, _at long, doc_id long, text string")
+    dealt = mapped(docs, deal, "_range int, _next boolean, _at long, doc_id long, text string")
     return dealt.repartition(n, "_range").sortWithinPartitions("_range", "_next", "_at", "text")
 
 
@@ -215,7 +215,7 @@ def compare_with_edited(docs: DataFrame, partitions: int | None = None) -> DataF
         if rows:
             yield pa.RecordBatch.from_pydict(dict(zip(names, map(list, zip(*rows, strict=True)), strict=True)), schema=_schema(names))
 
-    return in_order(docs, partitions or tasks(spark)).mapInArrow(run, RESULT)
+    return mapped(in_order(docs, partitions or tasks(spark)), run, RESULT)
 
 
 def _schema(names: list[str]) -> pa.Schema:

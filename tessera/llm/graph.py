@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, resplit
+from .common import cut, mapped, resplit
 
 MOST_ROUNDS = 60
 #: Edges of a part, about, that one task contracts.
@@ -42,7 +42,7 @@ def _contracted(edges: DataFrame, parts: int) -> DataFrame:
             for k in range(0, len(nodes), 50000):
                 yield pa.RecordBatch.from_arrays([pa.array(nodes[k : k + 50000]), pa.array(roots[k : k + 50000])], ["id", "component"])
 
-    return edges.repartition(parts).mapInArrow(run, "id long, component long")
+    return mapped(edges.repartition(parts), run, "id long, component long")
 
 
 def _state(edges: DataFrame):

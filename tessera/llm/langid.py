@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE, fold, text_buffers
+from .common import SLICE, fold, mapped, text_buffers
 
 #: Documents of each language that training and calibration take, about.
 SAMPLE = 800
@@ -122,7 +122,7 @@ def train(docs: DataFrame, text: str = "text", label: str = "lang", usable: Colu
             buckets, counts = _counts(b.column("x"))
             yield pa.RecordBatch.from_arrays([b.column("y"), b.column("draw"), pa.array(buckets, pa.list_(pa.int16())), pa.array(counts, pa.list_(pa.float32()))], ["y", "draw", "at", "c"])
 
-    got = picked.mapInArrow(features, "y string, draw double, at array<smallint>, c array<float>").toArrow().combine_chunks()
+    got = mapped(picked, features, "y string, draw double, at array<smallint>, c array<float>").toArrow().combine_chunks()
     y = np.array([names.index(y) for y in got["y"].to_pylist()], np.int64)
     order = np.lexsort((y, got["draw"].to_numpy()))
     at, c = got["at"].combine_chunks(), got["c"].combine_chunks()
@@ -222,7 +222,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text", keep_text: bool
             add = [pa.array(names[best].tolist(), pa.string()), pa.array(p, pa.float64()), pa.array((p < model.threshold) | (best == len(model.languages)))]
             yield pa.RecordBatch.from_arrays([*[b.column(i) for i in keep], *add], [*[b.schema.names[i] for i in keep], "lang_pred", "score", "rejected"])
 
-    return docs.withColumn("_letters", letters).mapInArrow(predict, schema)
+    return mapped(docs.withColumn("_letters", letters), predict, schema)
 
 
 def not_held_out() -> Column:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, doc_slices, mix, resplit, text_buffers, word_hashes
+from .common import cut, doc_slices, mapped, mix, resplit, text_buffers, word_hashes
 from .graph import components
 
 HASHES = 128
@@ -134,7 +134,7 @@ def sketches(docs: DataFrame, size: int, threshold: float) -> DataFrame:
             columns = [b.column("id"), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(smalls, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(np.diff(text_buffers(b.column("text"))[1]))]
             yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in SKETCH.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("long").alias("id"), "text").mapInArrow(run, SKETCH)
+    return mapped(docs.select(F.col("doc_id").cast("long").alias("id"), "text"), run, SKETCH)
 
 
 def _in_blocks(members: DataFrame, bytes_: int) -> DataFrame:
@@ -269,7 +269,7 @@ def _each_task(rows: DataFrame, look) -> DataFrame:
         if out:
             yield _edges(out)
 
-    return rows.repartition("task").sortWithinPartitions("task", "id").mapInArrow(run, EDGES)
+    return mapped(rows.repartition("task").sortWithinPartitions("task", "id"), run, EDGES)
 
 
 def candidate_edges(classes: DataFrame, threshold: float) -> DataFrame:

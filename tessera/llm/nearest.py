@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import mapped
+
 PROJECTIONS = 48
 SHARE = 0.68
 #: Half a window, in units of the radius; a vector at the radius is in it with a probability of 0.77.
@@ -180,7 +182,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, block: int = BLOC
                         ["query_id", "ids", "scores"],
                     )
 
-    parts = dealt.mapInArrow(search, PARTIAL).repartition("query_id").sortWithinPartitions("query_id")
+    parts = mapped(dealt, search, PARTIAL).repartition("query_id").sortWithinPartitions("query_id")
 
     def merge(batches):
         last, ids, scores = None, np.empty(0, np.int64), np.empty(0)
@@ -201,4 +203,4 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, block: int = BLOC
         if len(ids):
             yield rows_of()
 
-    return parts.mapInArrow(merge, RESULT)
+    return mapped(parts, merge, RESULT)

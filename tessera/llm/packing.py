@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, mapped
 
 CAPACITY = 1024
 END = 2
@@ -96,7 +96,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, e
             if rows:
                 yield _batch(rows, names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+    return mapped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, schema)
 
 
 def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
@@ -265,4 +265,4 @@ def place(cutting: DataFrame, rows: list[tuple[int, int, int, int, int]]) -> Dat
             yield pa.RecordBatch.from_arrays([*[b.column(i) for i in keep], pa.array(sequence), pa.array(offset)], [*[b.schema.names[i] for i in keep], "sequence_id", "offset"])
 
     schema = cutting.withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")}).schema
-    return ranked(cutting, "length", "_rank", ["doc_id", "piece", "ids_crc32"]).mapInArrow(run, schema)
+    return mapped(ranked(cutting, "length", "_rank", ["doc_id", "piece", "ids_crc32"]), run, schema)

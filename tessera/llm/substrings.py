@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .common import SpanHash, cut, doc_slices, resplit, text_buffers, words
+from .common import SpanHash, cut, doc_slices, mapped, resplit, text_buffers, words
 
 LENGTH = 400
 GRAM = 100
@@ -161,7 +161,7 @@ def find_runs(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, unit: str
             if made:
                 yield _columns(made, RUNS, _TYPES)
 
-    return docs.select("text").mapInArrow(run, RUNS)
+    return mapped(docs.select("text"), run, RUNS)
 
 
 def regions_of(members: DataFrame, texts: DataFrame, names: list[str]) -> DataFrame:
@@ -219,7 +219,7 @@ def finer_runs(regions: DataFrame, length: int, gram: int, unit: str, level: int
             )
             yield _columns([made], f"{RUNS}, times long", _TYPES)
 
-    return regions.select("t1", "t2", "regions", "z").mapInArrow(run, f"{RUNS}, times long")
+    return mapped(regions.select("t1", "t2", "regions", "z"), run, f"{RUNS}, times long")
 
 
 def packed(docs: DataFrame, with_id: bool) -> DataFrame:
@@ -239,7 +239,7 @@ def packed(docs: DataFrame, with_id: bool) -> DataFrame:
             )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(run, "doc_id long, " * with_id + "t1 long, t2 long, z binary")
+    return mapped(rows, run, "doc_id long, " * with_id + "t1 long, t2 long, z binary")
 
 
 def suffix_array(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -385,7 +385,7 @@ def _shards(pieces: DataFrame, length: int, unit: str, across: bool) -> DataFram
             for k in range(0, len(part[0]), 50000):
                 yield _columns([[x[k : k + 50000] for x in part]], FOUND, _TYPES)
 
-    return pieces.repartition("shard").sortWithinPartitions("shard").mapInArrow(run, FOUND)
+    return mapped(pieces.repartition("shard").sortWithinPartitions("shard"), run, FOUND)
 
 
 def repeated_spans(
@@ -428,7 +428,7 @@ def repeated_spans(
         for flat, _, parts in _slices(batches, [], 8 << 20):
             yield pa.RecordBatch.from_arrays([*[flat.field(x) for x in names], pa.array(parts, pa.binary())], [*names, "bytes"])
 
-    pieces = regions_of(dealt, texts, names).select("regions", "z").mapInArrow(slice_, "shard long, anchor long, content long, times long, text long, n int, bytes binary")
+    pieces = mapped(regions_of(dealt, texts, names).select("regions", "z"), slice_, "shard long, anchor long, content long, times long, text long, n int, bytes binary")
     found = cut(_shards(pieces, length, unit, across))
     own = members.select("t1", "t2", "a", "anchor", "content").distinct()
     spans = own.join(found, ["anchor", "content"])
@@ -482,7 +482,7 @@ def repeated(docs: DataFrame, length: int = LENGTH, **options) -> DataFrame:
                 kinds = [*[pa.int64()] * 4, pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], [x.split()[0] for x in RESULT.split(", ")])
 
-    return rows.mapInArrow(run, RESULT)
+    return mapped(rows, run, RESULT)
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, **options) -> DataFrame:
@@ -510,7 +510,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, **options) -> DataFra
             z = [c.compress(x) if ok else None for x, ok in zip(texts, column.is_valid().to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(np.ascontiguousarray(t[:, 0])), pa.array(np.ascontiguousarray(t[:, 1])), pa.array(z, pa.binary())], ["row", "t1", "t2", "z"])
 
-    joined = source.mapInArrow(pack, packed_type).join(repeated_spans(docs, length, **options), ["t1", "t2"], "left").select("row", "z", "spans")
+    joined = mapped(source, pack, packed_type).join(repeated_spans(docs, length, **options), ["t1", "t2"], "left").select("row", "z", "spans")
     out_type = StructType([row_type, docs.schema["text"], StructField("cut", LongType())])
 
     def unpack(batches):
@@ -527,7 +527,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, **options) -> DataFra
                 cuts.append(-1 if gone and not left.strip(" \t\n\v\f\r") else sum(hi - lo for lo, hi in gone))
             yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(texts, pa.string()), pa.array(cuts, pa.int64())], ["row", "text", "cut"])
 
-    rows = joined.mapInArrow(unpack, out_type).where("cut >= 0")
+    rows = mapped(joined, unpack, out_type).where("cut >= 0")
     column = {c: F.col("row")[c] for c in rest} | {"text": F.col("text")}
     if "n_chars" in column:
         column["n_chars"] = F.when(F.col("cut") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(column["n_chars"])

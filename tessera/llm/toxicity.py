@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import _FOLD, SLICE, SpanHash, doc_slices, mix, text_buffers, word_pieces, words
+from .common import _FOLD, SLICE, SpanHash, doc_slices, mapped, mix, text_buffers, word_pieces, words
 
 SAMPLE = 4000
 LEAST = 3
@@ -100,7 +100,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str =
             got = distinct(*text_buffers(b.column("x")))
             yield pa.RecordBatch.from_arrays([b.column("y"), b.column("draw"), pa.array([g.view(np.int32) for g in got], pa.list_(pa.int32()))], ["y", "draw", "f"])
 
-    got = rows.mapInArrow(hashed, "y int, draw double, f array<int>").toArrow().sort_by([("draw", "ascending")])
+    got = mapped(rows, hashed, "y int, draw double, f array<int>").toArrow().sort_by([("draw", "ascending")])
     f = got["f"].combine_chunks()
     return fit(f.values.to_numpy().view(np.uint32), f.offsets.to_numpy().astype(np.int64), got["y"].to_numpy())
 
@@ -173,4 +173,4 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep_text: bool = T
             keep = [i for i, c in enumerate(b.schema.names) if keep_text or c != text]
             yield pa.RecordBatch.from_arrays([*[b.column(i) for i in keep], pa.array(p), pa.array((p >= 0.5).astype(np.int32))], [*[b.schema.names[i] for i in keep], "score", "predicted"])
 
-    return docs.mapInArrow(run, schema)
+    return mapped(docs, run, schema)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, resplit, shared_dir
+from .common import cut, mapped, resplit, shared_dir
 
 CHUNK = 1 << 18
 LEAST_SHARED = 100
@@ -120,7 +120,7 @@ def write_chunks(chunks: DataFrame, folder: str) -> DataFrame:
             out.close()
             yield pa.RecordBatch.from_pydict({"archive": [path.rpartition("/")[2]], "records": [n], "bytes": [size]})
 
-    return cut(chunks.mapInArrow(write, "archive string, records long, bytes long"))
+    return cut(mapped(chunks, write, "archive string, records long, bytes long"))
 
 
 def read_archive(stream, chunk: int = CHUNK):
@@ -186,7 +186,7 @@ def read_chunks(manifest: DataFrame, folder: str, chunk: int = CHUNK, payloads:
                     if rows:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
-    return manifest.mapInArrow(run, CHUNKS)
+    return mapped(manifest, run, CHUNKS)
 
 
 def round_trip(spark: SparkSession, pages: DataFrame, folder: str | None = None) -> DataFrame:
