@@ -57,10 +57,9 @@ def components(edges: DataFrame) -> DataFrame:
     is cut from its lineage. Nulls and loops are left out; no edges give an empty result. Ends when a round changes
     nothing, which takes about the logarithm of the longest chain of stars.
     """
-    e = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    e = cut(e)
-    parts = -(-e.count() // PART)
-    stars = cut(_contracted(e, max(1, parts)))
+    edges = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    parts = -(-edges.count() // PART)
+    stars = cut(_contracted(edges, max(1, parts)))
     if parts <= 1:
         return stars
     e = cut(stars.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b")).distinct())

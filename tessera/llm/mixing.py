@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, WORD, cut, resplit
+from .common import SPACE, WORD, cut, cut_small, resplit
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
@@ -126,11 +126,11 @@ def _served(docs: DataFrame, weights, max_epochs: int, share: float) -> tuple[Da
     per_queue = targets(sizes, weights, max_epochs, share)
     running = Window.partitionBy("_queue").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     ranges = ranges.select("_queue", "_range", F.coalesce(F.sum("_words").over(running), F.lit(0)).alias("_before"))
-    ranges = cut(ranges.join(per_queue, "_queue"))
+    ranges = cut_small(ranges.join(per_queue, "_queue"))
     ends = cut(_ended(rows, resplit(ranges)))
     budget = sizes.agg(F.floor(F.sum("_source_size") * F.lit(share)).cast("long")).first()[0] or 0
     limits = _limits(ends, max_epochs, int(budget))
-    return ends, cut(ranges.join(limits, "_queue", "left").withColumn("_limit", F.coalesce("_limit", F.lit(0)).cast("long")))
+    return ends, cut_small(ranges.join(limits, "_queue", "left").withColumn("_limit", F.coalesce("_limit", F.lit(0)).cast("long")))
 
 
 def _deliveries(max_epochs: int, copy: Column, copies: Column) -> Column:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, doc_slices, mapped, mix, resplit, text_buffers, word_hashes
+from .common import cut, cut_small, doc_slices, mapped, mix, resplit, text_buffers, word_hashes
 from .graph import components
 
 HASHES = 128
@@ -147,7 +147,7 @@ def _in_blocks(members: DataFrame, bytes_: int) -> DataFrame:
 
 def _labelled(members: DataFrame, found: DataFrame) -> DataFrame:
     """Members with the component that the links found so far put them in."""
-    return cut(members.join(components(found).select("id", F.col("component").alias("label")), "id", "left").withColumn("label", F.coalesce("label", "id")))
+    return cut_small(members.join(components(found).select("id", F.col("component").alias("label")), "id", "left").withColumn("label", F.coalesce("label", "id")))
 
 
 def links(members: DataFrame, payload: DataFrame, compare, bytes_: int = BLOCK_BYTES) -> DataFrame:
@@ -159,20 +159,20 @@ def links(members: DataFrame, payload: DataFrame, compare, bytes_: int = BLOCK_B
     row = ["task", "side", "label", "id"]
     members = _in_blocks(members, bytes_)
     zero, same = F.lit(0).alias("side"), F.col("id").alias("label")
-    found = cut(compare(members.select(F.xxhash64("grp", "block").alias("task"), zero, same, "id").join(payload, "id")))
-    big = cut(members.where("blocks > 1"))
+    found = cut_small(compare(members.select(F.xxhash64("grp", "block").alias("task"), zero, same, "id").join(payload, "id")))
+    big = cut_small(members.where("blocks > 1"))
     if big.isEmpty():
         return found
     labelled = _labelled(big, found)
     picks = [F.min(F.struct(F.xxhash64("id", F.lit(100 + k)), "id", "w")).alias(f"p{k}") for k in range(REPS)]
     reps = labelled.groupBy("grp", "label").agg(*picks).select("grp", F.explode(F.array_distinct(F.array(*[F.struct("label", f"p{k}.id", f"p{k}.w") for k in range(REPS)]))).alias("r"))
     reps = _in_blocks(reps.select("grp", "r.*"), bytes_)
-    more = cut(compare(reps.select(F.xxhash64("grp", "block").alias("task"), zero, "label", "id").join(payload, "id")))
+    more = cut_small(compare(reps.select(F.xxhash64("grp", "block").alias("task"), zero, "label", "id").join(payload, "id")))
     found = found.union(more)
     labelled = _labelled(big, found)
     kinds = labelled.groupBy("grp", "label").agg(F.count("*").alias("n"))
     main = kinds.groupBy("grp").agg(F.max(F.struct("n", "label"))["label"].alias("main"), F.count("*").alias("kinds")).where("kinds > 1").select("grp", "main")
-    apart = cut(labelled.join(resplit(main), "grp").withColumn("stray", F.col("label") != F.col("main")))
+    apart = cut_small(labelled.join(resplit(main), "grp").withColumn("stray", F.col("label") != F.col("main")))
     chunks = apart.where("stray").groupBy("grp").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("w") / bytes_)).cast("int").alias("chunks"))
     if chunks.isEmpty():
         return found
@@ -181,7 +181,7 @@ def links(members: DataFrame, payload: DataFrame, compare, bytes_: int = BLOCK_B
     strays = apart.where("stray").withColumn("chunk", F.pmod(F.xxhash64("id", F.lit(11)), F.col("chunks")).cast("int"))
     strays = strays.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("side", F.lit(1))
     last = every.unionByName(strays).select(F.xxhash64("grp", "block", "chunk").alias("task"), *row[1:])
-    return found.union(cut(compare(last.join(payload, "id"))))
+    return found.union(cut_small(compare(last.join(payload, "id"))))
 
 
 def _tasks(batches, key: str = "task"):
@@ -335,7 +335,7 @@ def deduplicated(docs: DataFrame, size: int = 5, threshold: float = 0.8) -> Data
     names = docs.columns
     gone = near_duplicates(docs, size, threshold).where("not kept").select("doc_id").distinct()
     stay = docs.join(gone, "doc_id", "left_anti").select(*names)
-    again = cut(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1").select("doc_id"))
+    again = cut_small(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1").select("doc_id"))
     if again.isEmpty():
         return stay
     single = stay.join(again, "doc_id", "left_anti").select(*names)

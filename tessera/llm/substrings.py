@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .common import SpanHash, cut, doc_slices, mapped, resplit, text_buffers, words
+from .common import SpanHash, cut, cut_small, doc_slices, mapped, resplit, text_buffers, words
 
 LENGTH = 400
 GRAM = 100
@@ -406,7 +406,7 @@ def repeated_spans(
         text = F.struct("t1", "t2")
         classes = members.groupBy("anchor", "content", "n", "size", "place").agg(F.sum("times").alias("times"), F.min(F.struct("t1", "t2", "a")).alias("r"), (F.min(text) != F.max(text)).alias("several"))
         classes = cut(classes.select("anchor", "content", "n", "size", "place", F.when(F.col("several"), F.greatest("times", F.lit(2))).otherwise(F.lit(1) if across else F.col("times")).cast("long").alias("times"), "r.t1", "r.t2", "r.a"))
-        heavy = cut(classes.groupBy("anchor").agg(F.sum("size").alias("w")).where(F.col("w") > hot).select("anchor"))
+        heavy = cut_small(classes.groupBy("anchor").agg(F.sum("size").alias("w")).where(F.col("w") > hot).select("anchor"))
         if FINER**level >= length - gram + 1 or heavy.isEmpty():
             settled.append((members, classes))
             break
@@ -429,7 +429,7 @@ def repeated_spans(
             yield pa.RecordBatch.from_arrays([*[flat.field(x) for x in names], pa.array(parts, pa.binary())], [*names, "bytes"])
 
     pieces = mapped(regions_of(dealt, texts, names).select("regions", "z"), slice_, "shard long, anchor long, content long, times long, text long, n int, bytes binary")
-    found = cut(_shards(pieces, length, unit, across))
+    found = cut_small(_shards(pieces, length, unit, across))
     own = members.select("t1", "t2", "a", "anchor", "content").distinct()
     spans = own.join(found, ["anchor", "content"])
     span = F.struct((F.col("a") + F.col("lo")).alias("lo"), (F.col("a") + F.col("hi")).alias("hi"))
