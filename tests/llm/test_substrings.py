@@ -52,7 +52,7 @@ def test_odd_rows(spark):
     assert S.repeated(docs.limit(0), 40).collect() == []
 
 
-def test_hot_anchors_meet_across_shards(spark):
+def test_hot_anchors_meet_across_shards(spark, monkeypatch):
     rng = np.random.default_rng(5)
     letters = lambda n: "".join(rng.choice(list("abcdefghijklmnop"), n))
     passage = letters(120)
@@ -60,7 +60,8 @@ def test_hot_anchors_meet_across_shards(spark):
     rows += [(100 + i, rows[i][1][20:]) for i in range(8)] + [(200, "ab" * 100), (201, passage[40:])]
     rows += [(300 + i, rows[10 + i % 3][1]) for i in range(9)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    for hot in (1500, 300, 1):
+    for hot, sent in ((1500, 1 << 18), (300, 1 << 18), (300, 0), (1, 1 << 18)):
+        monkeypatch.setattr(S, "MOST_SENT", sent)
         hold(S.repeated(docs, 60, hot=hot, shard=4000).collect(), rows, 60)
 
 
@@ -100,7 +101,7 @@ def test_words(spark, monkeypatch, across, options):
     made = []
     for doc, t in rows:
         t = (t or "").encode()
-        gone = spans.get(tuple(np.frombuffer(hashlib.md5(t).digest(), "<i8").tolist()), [])
+        gone = spans.get(tuple(np.frombuffer(hashlib.md5(t).digest(), ">i8").tolist()), [])
         made.append((doc, sum(hi - lo for lo, hi in gone), hashlib.sha256(S.kept(t, gone)).hexdigest()))
     assert sorted(made, key=str) == brute_words(rows, 12, across)
     if got is not None:
@@ -132,7 +133,7 @@ def test_texts_over_a_slice(spark, monkeypatch):
     rows_ = []
     for doc, t in rows:
         t = (t or "").encode()
-        gone = S.merged([(x.lo, x.hi) for x in made.get(tuple(np.frombuffer(hashlib.md5(t).digest(), "<i8").tolist()), [])])
+        gone = S.merged([(x.lo, x.hi) for x in made.get(tuple(np.frombuffer(hashlib.md5(t).digest(), ">i8").tolist()), [])])
         rows_.append((doc, len(t), sum(hi - lo for lo, hi in gone), len(gone), hashlib.sha256(S.kept(t, gone)).hexdigest()))
     assert sorted(rows_, key=str) == brute(rows, 50)
 
