@@ -440,11 +440,11 @@ def repeated_spans(
         classes = classes.join(resplit(heavy), "anchor", "left_anti")
         while True:
             level += 1
-            finer = cut(finer_runs(pieces, length, gram, unit, level))
+            finer = cut_small(finer_runs(pieces, length, gram, unit, level))
             back.append(finer.select("p_anchor", "p_content", "shift", "anchor", "content"))
-            again = cut(gathered(finer, F.first("bytes").alias("bytes")))
+            again = gathered(finer, F.first("bytes").alias("bytes"))
             weights = again.groupBy("anchor").agg(F.count("*").alias("k"), F.max("times").alias("t"), F.sum("size").alias("w")).where("k > 1 or t > 1")
-            again = cut(again.join(resplit(weights.select("anchor", "w")), "anchor"))
+            again = cut_small(again.join(resplit(weights.select("anchor", "w")), "anchor"))
             settled = F.lit(FINER**level >= length - gram + 1) | (F.col("w") <= hot)
             more.append(again.where(settled).select(shard_of, *[c for c in names if c != "shard"], "bytes"))
             pieces = again.where(~settled)

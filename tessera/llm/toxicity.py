@@ -4,7 +4,8 @@ A document's features are the distinct 32-bit hashes of its words (A-Z lower-cas
 their ends), of the stems of longer words (their first ``STEMS`` bytes, so that inflected forms share a feature), of its pairs of
 neighbours and of its pairs with one or two words between. Training follows the published
 FTRL-proximal update (per-coordinate rates, L1 and L2) over a bounded sample: about ``2 * SAMPLE`` labelled documents,
-at one rate for both labels, chosen by a hash of the id; whole texts, hashed on the executors. Features of fewer than ``LEAST`` sampled
+at one rate for both labels, chosen by a hash of the id, and fewer where these have more than ``FEATURES`` features
+together; whole texts, hashed on the executors. Features of fewer than ``LEAST`` sampled
 documents are left out. The L1 term leaves few weights that aren't zero; they are sorted by hash and broadcast with the
 scoring function, which looks up every feature of every whole text, in slices of bounded size.
 
@@ -22,9 +23,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import _FOLD, SLICE, SpanHash, doc_slices, mapped, mix, text_buffers, word_pieces, words
+from .common import _FOLD, SLICE, SpanHash, cut, doc_slices, mapped, mix, text_buffers, word_pieces, words
 
 SAMPLE = 4000
+#: Features of the sampled documents together, at most.
+FEATURES = 1 << 25
 LEAST = 3
 SKIPS = (1, 2, 3)
 STEMS = (5, 6, 7)
@@ -100,22 +103,35 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str =
             got = distinct(*text_buffers(b.column("x")))
             yield pa.RecordBatch.from_arrays([b.column("y"), b.column("draw"), pa.array([g.view(np.int32) for g in got], pa.list_(pa.int32()))], ["y", "draw", "f"])
 
-    got = mapped(rows, hashed, "y int, draw double, f array<int>").toArrow().sort_by([("draw", "ascending")])
+    found = cut(mapped(rows, hashed, "y int, draw double, f array<int>"))
+    # The sample ends where its features reach ``FEATURES``, whatever the texts' lengths: that bounds what comes to the driver.
+    sizes = found.select("draw", F.size("f").alias("n")).orderBy("draw", "n").toArrow()
+    within = np.cumsum(sizes["n"].to_numpy(), dtype=np.int64) <= FEATURES
+    last = sizes["draw"].to_numpy()[within][-1] if within.any() else -1.0
+    if not within.all():
+        found = found.where(F.col("draw") <= float(last))
+    got = found.toArrow().combine_chunks()
+    order = np.lexsort((got["y"].to_numpy(), got["draw"].to_numpy()))
     f = got["f"].combine_chunks()
-    return fit(f.values.to_numpy().view(np.uint32), f.offsets.to_numpy().astype(np.int64), got["y"].to_numpy())
+    ends = f.offsets.to_numpy().astype(np.int64)
+    model = fit(f.values.to_numpy().view(np.uint32), ends[:-1][order], ends[1:][order], got["y"].to_numpy()[order])
+    del got, f
+    pa.default_memory_pool().release_unused()  # the driver keeps the model only
+    return model
 
 
-def fit(f: np.ndarray, ends: np.ndarray, y: np.ndarray) -> Model:
-    """FTRL-proximal over rows in order: f[ends[i]:ends[i+1]] are the distinct features of row i."""
+def fit(f: np.ndarray, starts: np.ndarray, ends: np.ndarray, y: np.ndarray) -> Model:
+    """FTRL-proximal over rows in order: f[starts[i]:ends[i]] are the distinct features of row i."""
     # Rare features go by an upper bound of their counts first, so that the exact step holds few of the sample's hashes.
     least = min(LEAST, len(y))
     rough = np.zeros(1 << 22, np.int32)
     for part in np.array_split(f, 1 + len(f) // (1 << 20)):
         rough += np.bincount(part & np.uint32(len(rough) - 1), minlength=len(rough)).astype(np.int32)
     kept = np.concatenate([np.zeros(0, bool), *[rough[part & np.uint32(len(rough) - 1)] >= least for part in np.array_split(f, 1 + len(f) // (1 << 20))]])
-    ends = np.concatenate([[0], np.cumsum(kept)])[ends]
+    moved = np.concatenate([[0], np.cumsum(kept)])
+    starts, ends = moved[starts], moved[ends]
     f = f[kept]
-    del rough, kept
+    del rough, kept, moved
     names, counts = np.unique(f, return_counts=True)
     names = names[counts >= least]
     z, n = np.zeros(len(names) + 1), np.zeros(len(names) + 1)  # the last is the bias, without L1
@@ -128,7 +144,7 @@ def fit(f: np.ndarray, ends: np.ndarray, y: np.ndarray) -> Model:
 
     rows = []
     for i in range(len(y)):
-        own = f[ends[i] : ends[i + 1]]
+        own = f[starts[i] : ends[i]]
         at = np.minimum(np.searchsorted(names, own), max(0, len(names) - 1))
         rows.append(np.append(at[names[at] == own] if len(names) else at[:0], len(names)).astype(np.int32))
     del f

@@ -64,7 +64,7 @@ def test_ftrl_finds_the_word():
     rng = np.random.default_rng(0)
     y = (np.arange(400) % 2).astype(int)
     rows = [np.unique(np.append(rng.integers(100, 160, 12), [7] if m else [8])).astype(np.uint32) for m in y]
-    model = T.fit(np.concatenate(rows), np.concatenate([[0], np.cumsum([len(r) for r in rows])]), y)
+    model = T.fit(np.concatenate(rows), np.concatenate([[0], np.cumsum([len(r) for r in rows])])[:-1], np.cumsum([len(r) for r in rows]), y)
     weights = dict(zip(model.features.tolist(), model.weights.tolist()))
     assert weights[7] > 1 and weights[8] < -1 and len(weights) < 12
 
@@ -76,3 +76,17 @@ def test_slices_do_not_matter(monkeypatch):
     whole = T.score_batch(texts, model)
     monkeypatch.setattr(T, "SLICE", 32)
     assert np.allclose(whole, T.score_batch(texts, model))
+
+
+def test_sample_is_bounded_by_its_features(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, ("vile words " if i % 4 == 0 else "kind words ") * 2 + f"and {i} more " * (i % 9)) for i in range(200)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(200)], "doc_id long, toxic int")
+    taken = []
+    fit = T.fit
+    monkeypatch.setattr(T, "fit", lambda f, *a: taken.append(len(f)) or fit(f, *a))
+    for bound in (1 << 25, 1500, 0):
+        monkeypatch.setattr(T, "FEATURES", bound)
+        model = T.train(docs, labels)
+        p = {r.doc_id: r.predicted for r in T.score(docs, model).collect()}
+        assert bound == 0 or all(p[i] == (i % 4 == 0) for i in p)
+    assert taken[0] > 1500 >= taken[1] > 1000 and taken[2] == 0
