@@ -66,11 +66,10 @@ class Index:
 
         last = int(np.ceil(np.log(2 * 40 / FIRST) / np.log(STEP)))  # windows that hold everything
         out = []
-        first = usual = self._first_level(places, need, k, last)
+        first = self._first_levels(places, need, k, last)
         for q in range(len(queries)):
             inner = np.empty(0)
-            # Two steps before the level at which queries end on average; to start wider than needed loses nothing.
-            level, old = max(first, int(usual) - 2), None
+            level, old = int(first[q]), None
             counts = np.zeros(n, np.int64)
             others = self.ids != query_ids[q]
             enough = min(k, int(others.sum()))
@@ -99,19 +98,22 @@ class Index:
                     if 2 * self.largest**2 - 2 * scale[q] * kth <= radius * radius:
                         break
                 level += 1
-            usual = 0.9 * usual + 0.1 * level if q else level
             out.append(self._best(queries[q], found, inner, k))
         return out
 
-    def _first_level(self, places, need: int, k: int, last: int) -> int:
-        """The widest level at which hardly any query can have k collisions yet, so that no query starts too wide."""
-        level = 0
-        while level < last:
+    def _first_levels(self, places, need: int, k: int, last: int) -> np.ndarray:
+        """For each query the first level at which its windows can give k vectors enough collisions; a function of the query
+        and the block alone, whatever queries come with it."""
+        lo, hi = places(0)
+        out, open_ = np.full(len(lo), last), np.ones(len(lo), bool)
+        for level in range(last):
             lo, hi = places(level)
-            if ((hi - lo).sum(1) >= need * min(k, self.sorted.shape[1])).any():
+            reached = open_ & ((hi - lo).sum(1) >= need * min(k, self.sorted.shape[1]))
+            out[reached] = level
+            open_ &= ~reached
+            if not open_.any():
                 break
-            level += 1
-        return level
+        return out
 
     def _best(self, query: np.ndarray, found: np.ndarray, inner: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         if len(found) > k:
