@@ -21,6 +21,7 @@ VENUES = [
 PREPRINTS = ["arxiv", "biorxiv", "medrxiv", "preprint", "research square", "ssrn"]
 SUPPLEMENT_NAMES = ["supp", "supplement", "supporting", "_si.", "-si.", "appendix", "_s1", "_s2"]
 NOT_AUTHORS = ["table of contents", "supplementary", "supporting information", "abstract", "contents", "notes", "appendix", "figure", "table", "keywords", "open access", "research article", "software", "original article", "review"]
+# Forms of an address and a year, and what names a kind of paper.
 EMAIL = r"[\w.+-]+@[\w-]+\.[\w.]+"
 YEAR = r"(19[7-9]\d|20[0-4]\d)"
 KINDS = {

@@ -10,11 +10,13 @@ from ..functions import text as T
 WORD = r"[A-Za-z][A-Za-z0-9\-/']*"
 LEAST_PAPERS, LEAST_COUNT, MOST_TERMS, MOST_HEADINGS = 2, 3, 30, 15
 # Words that neither begin nor end a term.
-STOP = (
-    "the a an of for and or in on to with is are was were be been by from as at that this these those which we our it its their they can may not "
-    "all each such than then also more most other using used use based into between both when while where how one two three however thus here "
-    "there have has had but if only same different shown show table figure et al fig eq section paper study results result data"
-).split()
+STOP = [
+    "the", "a", "an", "of", "for", "and", "or", "in", "on", "to", "with", "is", "are", "was", "were", "be", "been", "by", "from", "as",
+    "at", "that", "this", "these", "those", "which", "we", "our", "it", "its", "their", "they", "can", "may", "not", "all", "each", "such",
+    "than", "then", "also", "more", "most", "other", "using", "used", "use", "based", "into", "between", "both", "when", "while", "where",
+    "how", "one", "two", "three", "however", "thus", "here", "there", "have", "has", "had", "but", "if", "only", "same", "different",
+    "shown", "show", "table", "figure", "et", "al", "fig", "eq", "section", "paper", "study", "results", "result", "data",
+]
 
 
 def acronyms(docs: DataFrame, key: str, text: str, least_papers: int = LEAST_PAPERS) -> DataFrame:

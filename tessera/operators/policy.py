@@ -7,22 +7,31 @@ from pyspark.sql import functions as F
 
 LIMIT = 1_000_000
 # File extensions by what they hold.
-EXPERIMENTAL = "fastq fq sam bam cram fast5 pod5 czi lif nd2 ims fcs mzml mzxml".split()
-IMAGE_VIEW = "jpg jpeg png webp gif".split()
-IMAGE_SOURCE = "tif tiff bmp psd heic eps ai".split()
-WORD = "docx doc rtf odt".split()
-EXCEL = "xlsx xlsm xls ods".split()
-POWERPOINT = "pptx ppt odp".split()
-ARCHIVE = "zip 7z rar tar tgz tbz txz gz bz2 xz zst".split()
-MEDIA = "mp4 mov avi mkv webm m4v wmv mp3 wav flac m4a".split()
-DATA = "npy npz pkl pickle h5 hdf5 mat parquet feather db sqlite sqlite3 rds rdata pt pth ckpt safetensors joblib arrow bcolz zarr".split()
-EXECUTABLE = "exe dll so dylib bin o a class jar wasm msi dmg pkg deb rpm app".split()
-TEXT = (
-    "md markdown txt rst tex bib cls sty py r rmd ipynb jl m sh bash zsh fish ps1 bat c h cpp cc hpp cxx java kt go rs swift pl php rb lua js jsx "
-    "ts tsx vue css scss html htm xml svg json jsonl ndjson yaml yml toml ini cfg conf properties env_example sql graphql proto snakefile nf cwl "
-    "dockerfile makefile cmake gradle gitignore gitattributes log diff patch sbatch slurm smk wdl do sas f90 f nb gp gnuplot csl lock editorconfig"
-).split()
-TEXT_NAMES = "makefile dockerfile snakefile license licence readme changelog authors notice codeowners requirements pipfile".split()
+EXPERIMENTAL = ["fastq", "fq", "sam", "bam", "cram", "fast5", "pod5", "czi", "lif", "nd2", "ims", "fcs", "mzml", "mzxml"]
+IMAGE_VIEW = ["jpg", "jpeg", "png", "webp", "gif"]
+IMAGE_SOURCE = ["tif", "tiff", "bmp", "psd", "heic", "eps", "ai"]
+WORD = ["docx", "doc", "rtf", "odt"]
+EXCEL = ["xlsx", "xlsm", "xls", "ods"]
+POWERPOINT = ["pptx", "ppt", "odp"]
+ARCHIVE = ["zip", "7z", "rar", "tar", "tgz", "tbz", "txz", "gz", "bz2", "xz", "zst"]
+MEDIA = ["mp4", "mov", "avi", "mkv", "webm", "m4v", "wmv", "mp3", "wav", "flac", "m4a"]
+DATA = [
+    "npy", "npz", "pkl", "pickle", "h5", "hdf5", "mat", "parquet", "feather", "db", "sqlite", "sqlite3", "rds", "rdata", "pt", "pth",
+    "ckpt", "safetensors", "joblib", "arrow", "bcolz", "zarr",
+]
+EXECUTABLE = ["exe", "dll", "so", "dylib", "bin", "o", "a", "class", "jar", "wasm", "msi", "dmg", "pkg", "deb", "rpm", "app"]
+TEXT = [
+    "md", "markdown", "txt", "rst", "tex", "bib", "cls", "sty", "py", "r", "rmd", "ipynb", "jl", "m", "sh", "bash", "zsh", "fish", "ps1",
+    "bat", "c", "h", "cpp", "cc", "hpp", "cxx", "java", "kt", "go", "rs", "swift", "pl", "php", "rb", "lua", "js", "jsx", "ts", "tsx",
+    "vue", "css", "scss", "html", "htm", "xml", "svg", "json", "jsonl", "ndjson", "yaml", "yml", "toml", "ini", "cfg", "conf", "properties",
+    "env_example", "sql", "graphql", "proto", "snakefile", "nf", "cwl", "dockerfile", "makefile", "cmake", "gradle", "gitignore",
+    "gitattributes", "log", "diff", "patch", "sbatch", "slurm", "smk", "wdl", "do", "sas", "f90", "f", "nb", "gp", "gnuplot", "csl", "lock",
+    "editorconfig",
+]
+TEXT_NAMES = [
+    "makefile", "dockerfile", "snakefile", "license", "licence", "readme", "changelog", "authors", "notice", "codeowners", "requirements",
+    "pipfile",
+]
 REFUSED_FOLDERS = ["desktop", "downloads", "documents", "pictures", "movies", "music", "library", "applications", "dropbox", "onedrive", "icloud drive", "google drive", "mobile documents", "public"]
 CLOUD_ROOTS = ["/library/mobile documents", "/dropbox", "/onedrive", "/google drive"]
 

@@ -20,8 +20,12 @@ WEIGHTS = {
 }
 # Words that a question's terms leave out.
 QUERY_STOP = frozenset(
-    "the a an of for and or in on to with is are was were be do does did how what which why when who that this it as at by from than "
-    "then there these those any all can could should would we i you they if not no but about into vs versus under over between using use".split()
+    [
+    "the", "a", "an", "of", "for", "and", "or", "in", "on", "to", "with", "is", "are", "was", "were", "be", "do", "does", "did", "how",
+    "what", "which", "why", "when", "who", "that", "this", "it", "as", "at", "by", "from", "than", "then", "there", "these", "those", "any",
+    "all", "can", "could", "should", "would", "we", "i", "you", "they", "if", "not", "no", "but", "about", "into", "vs", "versus", "under",
+    "over", "between", "using", "use",
+]
 )
 MOST_SYNONYMS = 12
 
