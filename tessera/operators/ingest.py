@@ -46,15 +46,16 @@ def rejected_groups(rows: DataFrame, group: str, errors: str = "errors") -> Data
     return rows.select(group, F.explode(errors).alias("error")).groupBy(group).agg(F.array_sort(F.collect_set("error")).alias("errors"))
 
 
-def topics(rows: DataFrame, papers: DataFrame) -> DataFrame:
-    """topics (name, papers array<string>, ...) with ids and ``errors``; accepted only if no topic of the response has any."""
+def topics(rows: DataFrame, papers: DataFrame, response: str | None = None) -> DataFrame:
+    """topics (name, papers array<string>, ...) with ids and ``errors``; accepted only if no topic of the same ``response``
+    (a column; else they are all of one, of few rows) has any."""
     known = papers.where("status = 'active'").select(F.col("paper_id").alias("ref"), F.lit(True).alias("_known"))
     rows = rows.withColumn("topic_id", T.topic_id(F.col("name")))
-    refs = rows.select("topic_id", F.explode("papers").alias("ref")).join(known, "ref", "left").where("_known is null")
-    bad = refs.groupBy("topic_id").agg(F.array_sort(F.collect_set(F.concat(F.lit("papers:unknown "), "ref"))).alias("errors"))
-    out = rows.join(bad, "topic_id", "left").withColumn("errors", F.coalesce("errors", F.array().cast("array<string>")))
-    # A response has few topics; the flag is one number for all.
-    return out.withColumn("accepted", F.max(F.size("errors")).over(Window.partitionBy()) == 0)
+    own = ["topic_id", *([response] if response else [])]
+    refs = rows.select(*own, F.explode("papers").alias("ref")).join(known, "ref", "left").where("_known is null")
+    bad = refs.groupBy(*own).agg(F.array_sort(F.collect_set(F.concat(F.lit("papers:unknown "), "ref"))).alias("errors"))
+    out = rows.join(bad, own, "left").withColumn("errors", F.coalesce("errors", F.array().cast("array<string>")))
+    return out.withColumn("accepted", F.max(F.size("errors")).over(Window.partitionBy(*own[1:])) == 0)
 
 
 def stamped(rows: DataFrame, model: str, prompt: str, version: str, reviewed: bool = False) -> DataFrame:

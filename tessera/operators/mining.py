@@ -118,6 +118,13 @@ def entity_index(mentions: DataFrame, name: str, key: str) -> DataFrame:
     return out.select(name, F.size("papers").cast("long").alias("n_papers"), "papers").orderBy(F.desc("n_papers"), name)
 
 
+def concept_index(claims: DataFrame, concepts: str, paper: str, claim: str) -> DataFrame:
+    """(concept, papers, claims, n_claims): for each concept in lower case the sorted ids that name it, most claims first."""
+    rows = claims.select(F.explode(concepts).alias("c"), paper, claim).select(F.lower(F.trim("c")).alias("concept"), paper, claim).where("concept <> ''")
+    out = rows.groupBy("concept").agg(F.sort_array(F.collect_set(paper)).alias("papers"), F.sort_array(F.collect_set(claim)).alias("claims"))
+    return out.withColumn("n_claims", F.size("claims").cast("long")).orderBy(F.desc("n_claims"), "concept")
+
+
 def adopted(before: DataFrame, after: DataFrame, name: str = "heading") -> DataFrame:
     """Headings that were adopted stay so: the union of both lists."""
     return before.select(name).union(after.select(name)).distinct()

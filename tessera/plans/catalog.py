@@ -78,35 +78,9 @@ def normalized_text_hash(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2(T.normalize_block(F.col("text")), 256).alias("h"))
 
 
-@query(rf"WITH {_LINES} SELECT doc_id, ordinal, text FROM units WHERE regexp_matches(text, '(?i)^\s*(?:supplementary\s+)?(?:table|tab\.|figure|fig\.?|scheme|algorithm|listing|box|equation|eq\.)\s*(?:s?\d+[a-z]?|[ivxlc]+)(?:[\s.:|)]|$)')")
-def caption_lines(spark, sf_dir):
-    return structure.line_units(table(spark, sf_dir, "documents")).where(T.is_caption(F.col("text"))).select("doc_id", "ordinal", "text")
-
-
-@query(rf"""WITH {_LINES}
-SELECT doc_id, ordinal, CAST(least(4, length(n) - length(replace(n, '.', '')) + 1) AS BIGINT) AS level
-FROM (SELECT doc_id, ordinal, text, regexp_extract(text, '^(\d+(?:\.\d+){{0,3}})[.)]?\s+(\S.{{0,110}})$', 1) AS n FROM units) WHERE n <> ''""")
-def numbered_headings(spark, sf_dir):
-    number = F.regexp_extract("text", T.NUMBERED, 1)
-    depth = F.least(F.lit(4), F.length(number) - F.length(F.replace(number, F.lit("."), F.lit(""))) + 1).cast("long")
-    return structure.line_units(table(spark, sf_dir, "documents")).where(number != "").select("doc_id", "ordinal", depth.alias("level"))
-
-
 _PROBE = r"regexp_replace(regexp_replace(regexp_replace(lower(trim(text)), '[:.]+$', ''), '^\s*\d+(?:\.\d+)*[.)]?\s*', ''), '\s+', ' ', 'g')"
 
 
-@query(f"WITH {_LINES}, p AS (SELECT doc_id, ordinal, {_PROBE} AS heading FROM units) SELECT * FROM p WHERE heading IN ({', '.join(repr(s) for s in T.CANONICAL_SECTIONS)})")
-def canonical_headings(spark, sf_dir):
-    rows = structure.line_units(table(spark, sf_dir, "documents"))
-    return rows.select("doc_id", "ordinal", T.canonical_heading(F.col("text")).alias("heading")).where("heading is not null")
-
-
-@query(rf"WITH {_LINES} SELECT doc_id, ordinal, trim(text) AS label FROM units WHERE regexp_matches(trim(text), '(?i)^(?:[ivxlcdm]{{1,7}}|\d{{1,5}})$')")
-def page_number_like_lines(spark, sf_dir):
-    rows = structure.line_units(table(spark, sf_dir, "documents"))
-    return rows.where(F.trim("text").rlike(r"(?i)^(?:[ivxlcdm]{1,7}|\d{1,5})$")).select("doc_id", "ordinal", F.trim("text").alias("label"))
-
-
 @query(rf"""WITH {_LINES}, m AS (SELECT doc_id, substr(regexp_replace(trim(regexp_replace(lower(text), '\s+', ' ', 'g')), '\d+', '#', 'g'), 1, 90) AS mask FROM units WHERE length(text) <= 200)
 SELECT mask, count(DISTINCT doc_id) AS documents, count(*) AS n FROM m GROUP BY mask HAVING count(DISTINCT doc_id) >= 3""")
 def running_heads(spark, sf_dir):
@@ -272,24 +246,10 @@ def synonym_expansion_pairs(spark, sf_dir):
 # ---------------------------------------------------------------------------------------------- vocabulary
 
 
-@query()
-def acronym_candidates(spark, sf_dir):
-    return mining.acronyms(table(spark, sf_dir, "documents"), "doc_id", "text")
-
-
 _WORDS = r"regexp_extract_all(text, '[A-Za-z][A-Za-z0-9\-/'']*')"
 _STOPS = ", ".join(repr(w) for w in mining.STOP)
 
 
-@query(rf"""
-WITH w AS (SELECT regexp_replace(lower(unnest({_WORDS})), '^[-/'']+|[-/'']+$', '', 'g') AS token FROM documents),
-n AS (SELECT token, count(*) AS n, regexp_replace(token, '[-/'']', '', 'g') AS key FROM w WHERE length(token) >= 4 AND token NOT IN ({_STOPS}) GROUP BY token),
-g AS (SELECT key, list(token ORDER BY n DESC, key DESC, token DESC)[1] AS canonical, list_sort(list(token)) AS forms, CAST(sum(n) AS BIGINT) AS n FROM n WHERE length(key) >= 4 GROUP BY key HAVING count(*) > 1 AND sum(n) >= 3)
-SELECT canonical, list_filter(forms, lambda x: x <> canonical) AS aliases, n FROM g""")
-def spelling_variants(spark, sf_dir):
-    return mining.spelling_variants(table(spark, sf_dir, "documents"), "text")
-
-
 _GRAMS = rf"""
 w AS (SELECT doc_id, list_transform({_WORDS}, lambda x: lower(x)) AS w FROM documents),
 g AS (SELECT doc_id, unnest(list_concat(list_transform(range(1, len(w)), lambda i: w[i:i + 1]), list_transform(range(1, len(w) - 1), lambda i: w[i:i + 2]))) AS g FROM w),
@@ -456,19 +416,6 @@ def resolve_lookup(spark, sf_dir):
     return search.resolve(table(spark, sf_dir, "customer"), "12", "c_custkey", "c_name")
 
 
-@query("SELECT c_custkey FROM customer WHERE starts_with(CAST(c_custkey AS VARCHAR), '#00001') OR contains(lower(c_name), '#00001')")
-def resolve_fragment(spark, sf_dir):
-    return search.resolve(table(spark, sf_dir, "customer"), "#00001", "c_custkey", "c_name")
-
-
-@query("""WITH known AS (SELECT doc_id FROM documents) SELECT 'conversations' AS kind, conv_id AS id, count(*) AS n FROM conversations WHERE conv_id NOT IN (SELECT doc_id FROM known) GROUP BY conv_id
-UNION ALL SELECT 'labels', doc_id, count(*) FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM known) GROUP BY doc_id""")
-def dangling_references(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    refs = table(spark, sf_dir, "conversations").select(F.lit("conversations").alias("kind"), F.col("conv_id").alias("id")).union(table(spark, sf_dir, "labels").select(F.lit("labels"), "doc_id"))
-    return graph.dangling(refs, docs, "id", "doc_id").groupBy("kind", "id").agg(F.count("*").alias("n"))
-
-
 # ---------------------------------------------------------------------------------------------- state
 
 _SNAPSHOTS = """before AS (SELECT 'o' || o_orderkey AS path, md5(o_orderstatus || o_orderkey) AS content FROM orders),
@@ -794,21 +741,6 @@ def expression_matches(spark, sf_dir):
     return expressions.search(index, "(license OR der) NOT mit").select("doc_id")
 
 
-@query()
-def multi_kind_search(spark, sf_dir):
-    """The best lines, claims and papers for a question, each kind by its own index and weights."""
-    docs = table(spark, sf_dir, "documents")
-    claims = table(spark, sf_dir, "conversations").select(F.concat_ws("#", "conv_id", "turn").alias("id"), F.col("text").alias("statement"), F.col("role").alias("facets"), F.lit("").alias("tags"))
-    papers = docs.select(F.col("doc_id").cast("string").alias("id"), F.substring_index("text", "\n", 1).alias("title"), F.col("source").alias("authors"), F.col("text").alias("abstract"), F.col("lang").alias("keywords"))
-    units = structure.line_units(docs).select(F.concat_ws(":", "doc_id", "ordinal").alias("id"), "text", F.lit("").alias("heading"), F.lit("").alias("section"))
-    out = None
-    for kind, rows, limit in (("units", units, 10), ("claims", claims, 10), ("papers", papers, 12)):
-        index = search.build_index(rows, ["id"], search.WEIGHTS[kind])
-        best = search.ranked(search.bm25(index, ["license", "the"]), rows.select("id"), ["id"], limit).select(F.lit(kind).alias("kind"), "id", F.round("score", 6).alias("score"))
-        out = best if out is None else out.union(best)
-    return out
-
-
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best lines of all documents for a list of phrases, with what they come from."""
     docs = table(spark, sf_dir, "documents")
@@ -816,3 +748,6 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = search.build_index(units, ["doc_id", "ordinal"], {"text": 1.0})
     payload = units.join(docs.select("doc_id", "source", "lang"), "doc_id")
     return search.ranked(search.bm25(index, ["the", "license", "released under"]), payload, ["doc_id", "ordinal"], 10)
+
+
+from . import details  # noqa: E402, F401  it registers its queries here
