@@ -21,7 +21,8 @@ def _paths(spark: SparkSession, path: str):
 
 
 def replace(df: DataFrame, path: str, format_: str = "parquet") -> None:
-    """Write beside the old table, then swap by rename: readers see the old or the new one, and ``df`` may read the old."""
+    """Write beside the old table, then swap by two renames; ``df`` may read the old. Between the renames there is no table:
+    what stops there leaves the old one beside, and ``recover`` puts it back."""
     spark = df.sparkSession
     target, fs, jvm = _paths(spark, path)
     new, old = (jvm.org.apache.hadoop.fs.Path(f"{path}.{k}-{uuid.uuid4().hex}") for k in ("new", "old"))
@@ -33,6 +34,24 @@ def replace(df: DataFrame, path: str, format_: str = "parquet") -> None:
     fs.delete(old, True)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    p, fs, _ = _paths(spark, path)
+    return fs.exists(p)
+
+
+def recover(spark: SparkSession, path: str) -> None:
+    """Put the old table back where a replacement stopped between its renames; what it left beside goes."""
+    p, fs, _ = _paths(spark, path)
+    if not fs.exists(p.getParent()):
+        return
+    left = [s.getPath() for s in fs.listStatus(p.getParent()) if s.getPath().getName().startswith((f"{p.getName()}.old-", f"{p.getName()}.new-"))]
+    for old in left:
+        if ".old-" in old.getName() and not fs.exists(p):
+            fs.rename(old, p)
+        else:
+            fs.delete(old, True)
+
+
 def append_log(spark: SparkSession, path: str, action: str, detail: str) -> None:
     row = spark.range(1).select(F.lit(time.strftime("%Y-%m-%dT%H:%M:%S")).alias("at"), F.lit(action).alias("action"), F.lit(detail).alias("detail"))
     row.write.mode("append").json(path)

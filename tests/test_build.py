@@ -89,3 +89,61 @@ def test_reports(spark):
     assert {x.paper_id: (x.n_units, x.n_claims) for x in report.per_paper(papers, units, claims).collect()} == {"p": (3, 2), "q": (0, 0)}
     shown = report.claim_display(spark.createDataFrame([("c1", "p", "s", [(0, 3)])], "claim_id string, paper_id string, statement string, support array<struct<char_start:int,char_end:int>>"), spark.createDataFrame([("p", "abcdef")], "paper_id string, text string"), spark.createDataFrame([("extends", "c1", "c9")], "relation string, source_claim_id string, target_claim_id string")).first()
     assert shown.passages == ["abcdef"] and shown.edges[0].relation == "extends"
+
+
+def test_update(spark, tmp_path, monkeypatch):
+    root, out = tmp_path / "docs", str(tmp_path / "kb")
+    root.mkdir()
+    (root / "alpha.html").write_text(HTML.format(LONG, "The assembler counts k-mers."))
+    (root / "beta.html").write_text(HTML.format(LONG, "Nothing else is mapped.").replace("10.1234/alpha", "10.1234/beta"))
+    (root / "notes.md").write_text("# Results\n\nMapping of reads was slow.\n")
+    first = B.update(spark, str(root), out)
+    assert (first.added, first.parsed) == (3, 3) and first.corpus.adopted == ["Author Summary"]
+    relations = {r.relation_id for r in first.corpus.relations.collect()}
+    assert relations
+
+    written = []
+    replace = B.tables.replace
+    monkeypatch.setattr(B.tables, "replace", lambda df, path, *a: written.append(path.rsplit("/", 1)[1]) or replace(df, path, *a))
+    same = B.update(spark, str(root), out)
+    assert (same.unchanged, same.parsed, written) == (3, 0, ["changes"])
+
+    (root / "notes.md").rename(root / "old notes.md")
+    (root / "beta.html").write_text(HTML.format(LONG, "Something else is mapped.").replace("10.1234/alpha", "10.1234/gamma"))
+    (root / "new.txt").write_text("A new text about contigs.")
+    more = B.update(spark, str(root), out)
+    assert (more.renamed, more.modified, more.added, more.unchanged, more.parsed) == (1, 1, 1, 1, 2)
+    papers = {(r.source_path, r.status, r.tombstone_reason) for r in more.corpus.papers.collect()}
+    assert {p[:2] for p in papers if p[1] == "active"} == {("alpha.html", "active"), ("beta.html", "active"), ("new.txt", "active"), ("old notes.md", "active")}
+    assert ("beta.html", "tombstoned", "identity changed") in papers
+    assert {r.relation_id for r in spark.read.parquet(f"{out}/retired_relations").collect()} == relations
+    assert B.ask(spark, out, "mapped something").first().text == "Something else is mapped."
+
+    (root / "alpha.html").unlink()
+    less = B.update(spark, str(root), out)
+    assert (less.removed, less.parsed) == (1, 0)
+    assert {(r.source_path, r.tombstone_reason) for r in less.corpus.papers.where("status = 'tombstoned'").collect()} >= {("alpha.html", "source removed")}
+    assert less.corpus.relations.isEmpty()
+
+
+def test_overrides_apply_before_families(spark, tmp_path):
+    root, out = tmp_path / "docs", str(tmp_path / "kb")
+    root.mkdir()
+    (root / "a.html").write_text(HTML.format(LONG, "One."))
+    (root / "b.html").write_text(HTML.format(LONG, "Two.").replace("10.1234/alpha", "10.1234/beta"))
+    (root / "c.html").write_text(HTML.format(LONG, "Three.").replace("10.1234/alpha", "10.1234/gamma"))
+    patches = spark.createDataFrame([("b.html", False, "An entirely different name of it", 1999), ("c.html", True, None, None)], "source_path string, delete boolean, title string, year int")
+    made = B.build(spark, str(root), out, overrides={"papers": patches})
+    papers = {r.source_path: (r.title, r.year) for r in made.papers.collect()}
+    assert set(papers) == {"a.html", "b.html"} and papers["b.html"] == ("An entirely different name of it", 1999)
+    assert made.relations.isEmpty()
+
+
+def test_a_replacement_that_stopped_is_recovered(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.range(3).write.parquet(f"{path}.old-1")
+    spark.range(9).write.parquet(f"{path}.new-2")
+    B.tables.recover(spark, path)
+    assert spark.read.parquet(path).count() == 3 and [p.name for p in tmp_path.iterdir()] == ["t"]
+    B.tables.recover(spark, path)
+    assert spark.read.parquet(path).count() == 3
