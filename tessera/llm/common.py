@@ -55,7 +55,12 @@ def mapped(df: DataFrame, run, schema) -> DataFrame:
     n, unit = re.match(r"(\d+)\s*([kmgtp]?)", spark.conf.get(key).lower()).groups()
     if int(n) << 10 * " kmgtp".index(unit or " ") > BATCH_BYTES:
         spark.conf.set(key, f"{BATCH_BYTES}b")
-    return df.mapInArrow(run, schema)
+
+    def bounded(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()  # what an idle worker would keep
+
+    return df.mapInArrow(bounded, schema)
 
 
 def remove(spark: SparkSession, path: str) -> None:

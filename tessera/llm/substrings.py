@@ -175,8 +175,9 @@ def regions_of(classes: DataFrame, names: list[str]) -> DataFrame:
     return classes.groupBy("t1", "t2").agg(F.collect_list(F.struct(*names, "a", "size")).alias("regions"))
 
 
-def sliced(texts: DataFrame, names: dict[str, str]) -> DataFrame:
-    """Texts (z, regions) to pieces: the regions' ``names`` (with their types) and their bytes."""
+def _slices(names: list[str], raw: str = "z"):
+    """A function from batches of texts (``raw``: z, compressed, or x, as they are) and their regions to batches of pieces:
+    the regions' ``names`` and their bytes."""
 
     def run(batches):
         import zstandard
@@ -187,8 +188,8 @@ def sliced(texts: DataFrame, names: dict[str, str]) -> DataFrame:
             flat, ends = regions.flatten(), np.concatenate([[0], np.cumsum(regions.value_lengths().to_numpy())])
             a, size = flat.field("a").to_numpy(), flat.field("size").to_numpy()
             first, parts, held = 0, [], 0
-            for i, z in enumerate(b.column("z")):
-                text = d.decompress(z.as_py())
+            for i, z in enumerate(b.column(raw)):
+                text = d.decompress(z.as_py()) if raw == "z" else (z.as_py() or "").encode()
                 for k in range(ends[i], ends[i + 1]):
                     parts.append(text[a[k] : a[k] + size[k]])
                     held += len(parts[-1])
@@ -197,14 +198,15 @@ def sliced(texts: DataFrame, names: dict[str, str]) -> DataFrame:
                         yield pa.RecordBatch.from_arrays([*[some.field(x) for x in names], pa.array(parts, pa.binary())], [*names, "bytes"])
                         first, parts, held = k + 1, [], 0
 
-    return mapped(texts.select("regions", "z"), run, ", ".join(f"{k} {t}" for k, t in names.items()) + ", bytes binary")
+    return run
 
 
 FINER_RUNS = "p_anchor long, p_content long, shift int, anchor long, content long, n int, size int, place int, times long, text long"
+PIECE = ["anchor", "content", "n", "place", "times", "text"]
 
 
-def finer_runs(pieces: DataFrame, length: int, gram: int, unit: str, level: int) -> DataFrame:
-    """The runs of pieces (anchor, content, n, place, times, text, bytes) dealt again by the place of their anchor: windows
+def _finer(length: int, gram: int, unit: str, level: int):
+    """A function from batches of pieces (``PIECE``, bytes) to their runs dealt again by the place of their anchor: windows
     with it in an interval of places have in common the symbols that all windows of that interval cover, their new anchor."""
     places = length - gram + 1
     each = max(1, places // FINER**level)
@@ -237,7 +239,7 @@ def finer_runs(pieces: DataFrame, length: int, gram: int, unit: str, level: int)
                     own_bytes = pa.array([raw[p:q].tobytes() for p, q in zip(begin[k : k + 4096], end[k : k + 4096], strict=True)], pa.binary())
                     yield pa.RecordBatch.from_arrays([*part.columns, own_bytes], [*part.schema.names, "bytes"])
 
-    return mapped(pieces.select("anchor", "content", "n", "place", "times", "text", "bytes"), run, f"{FINER_RUNS}, bytes binary")
+    return run
 
 
 def packed(docs: DataFrame, with_id: bool) -> DataFrame:
@@ -436,22 +438,26 @@ def repeated_spans(
     heavy = cut_small(classes.groupBy("anchor").agg(F.sum("size").alias("w")).where(F.col("w") > hot).select("anchor"))
     more, back, level = [], [], 0
     if not heavy.isEmpty():
-        pieces = _hot_pieces(docs, classes.join(resplit(heavy), "anchor"))
+        source = _hot_texts(docs, classes.join(resplit(heavy), "anchor"))
         classes = classes.join(resplit(heavy), "anchor", "left_anti")
         while True:
             level += 1
-            finer = cut_small(finer_runs(pieces, length, gram, unit, level))
+            finer = _finer(length, gram, unit, level)
+            if level == 1:  # one function: cutting the texts and dealing their pieces takes one worker
+                finer = lambda batches, deal=finer: deal(_slices(PIECE, "x")(batches))
+            finer = cut_small(mapped(source, finer, f"{FINER_RUNS}, bytes binary"))
             back.append(finer.select("p_anchor", "p_content", "shift", "anchor", "content"))
             again = gathered(finer, F.first("bytes").alias("bytes"))
             weights = again.groupBy("anchor").agg(F.count("*").alias("k"), F.max("times").alias("t"), F.sum("size").alias("w")).where("k > 1 or t > 1")
             again = cut_small(again.join(resplit(weights.select("anchor", "w")), "anchor"))
             settled = F.lit(FINER**level >= length - gram + 1) | (F.col("w") <= hot)
             more.append(again.where(settled).select(shard_of, *[c for c in names if c != "shard"], "bytes"))
-            pieces = again.where(~settled)
-            if pieces.isEmpty():
+            source = again.where(~settled).select(*PIECE, "bytes")
+            if source.isEmpty():
                 break
     texts = packed(docs, False).groupBy("t1", "t2").agg(F.first("z").alias("z"))
-    pieces = sliced(regions_of(classes.withColumn("shard", shard_of), list(names)).join(texts, ["t1", "t2"]), names)
+    regions = regions_of(classes.withColumn("shard", shard_of), list(names)).join(texts, ["t1", "t2"]).select("regions", "z")
+    pieces = mapped(regions, _slices(list(names)), ", ".join(f"{k} {t}" for k, t in names.items()) + ", bytes binary")
     for x in more:
         pieces = pieces.unionByName(x)
     found = cut_small(_shards(pieces, length, unit, across))
@@ -468,23 +474,13 @@ def repeated_spans(
 MOST_SENT = 1 << 18
 
 
-def _hot_pieces(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    names = {"anchor": "long", "content": "long", "times": "long", "text": "long", "n": "int", "place": "int"}
+def _hot_texts(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """(regions, x): the texts that hot classes are cut from, with these."""
     classes = cut_small(classes)
-    regions = regions_of(classes, list(names))
+    regions = regions_of(classes, PIECE)
     regions = F.broadcast(regions) if classes.count() <= MOST_SENT else regions
     found = docs.select(*digest_of(F.col("text")), F.col("text").alias("x")).join(regions, ["t1", "t2"])
-    one = found.groupBy("t1", "t2").agg(F.first("regions").alias("regions"), F.first("x").alias("x"))
-
-    def pack(batches):
-        import zstandard
-
-        c = zstandard.ZstdCompressor(level=1)
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("regions"), pa.array([c.compress((x or "").encode()) for x in b.column("x").to_pylist()], pa.binary())], ["regions", "z"])
-
-    schema = one.select("regions", F.lit(b"").alias("z")).schema
-    return sliced(mapped(one.select("regions", "x"), pack, schema), names)
+    return found.groupBy("t1", "t2").agg(F.first("regions").alias("regions"), F.first("x").alias("x")).select("regions", "x")
 
 
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<struct<start:long,stop:long>>"
