@@ -49,9 +49,12 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     hashes, endings, bounds = [], [], None
     for piece, own in word_pieces(data, offsets):
         starts, ends, bounds = words(piece, own)
-        span = SpanHash(_FOLD[piece])
-        hashes.append(span(starts, ends).view(np.int64))
-        endings.append(((span(np.maximum(starts, ends - 3), ends) >> np.uint64(40)) % np.uint64(ENDINGS)).astype(np.int32))
+        piece = _FOLD[piece]
+        hashes.append(SpanHash(piece)(starts, ends).view(np.int64))
+        size, last = ends - starts, np.zeros(len(ends), np.uint32)
+        for k in (1, 2, 3):  # a shorter word's missing bytes count as 0
+            last = last << np.uint32(8) | np.where(size >= k, piece[np.maximum(ends - k, 0)], 0).astype(np.uint32)
+        endings.append((((last * np.uint32(0x9E3779B1)) >> np.uint32(16)) % np.uint32(ENDINGS)).astype(np.int32))
     if len(hashes) > 1:
         bounds = np.array([0, sum(map(len, hashes))])
     return np.concatenate(hashes), np.concatenate(endings), bounds
