@@ -87,9 +87,8 @@ def test_contribution(spark):
 
 
 def test_papers_are_found_by_words_far_behind(spark, tmp_path):
-    from tessera.plans.catalog import multi_kind_search
+    from tessera.plans.details import search_papers
 
     docs = [(1, "word " * 3000 + "license", "en", "a"), (2, "nothing here", "en", "a")]
     spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
-    spark.createDataFrame([(1, 1, "user", "hello")], "conv_id long, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
-    assert [r.id for r in multi_kind_search(spark, str(tmp_path)).collect() if r.kind == "papers"] == ["1"]
+    assert [r.id for r in search_papers(spark, str(tmp_path)).collect()] == ["1"]
