@@ -21,6 +21,8 @@ RELATIONS = (
 ).split()
 FAIL_ON = ["broken_locator", "missing_locator", "excerpt_mismatch", "schema_error", "dangling_reference"]
 MOST_DRIFT = 5
+#: Quotes of a paper that are looked up in its text together, parts to which they are dealt before, and characters of a block of units.
+TOGETHER, PARTS, BLOCK = 512, 16, 1024
 
 
 def errors(checks: list[tuple[str, Column]]) -> Column:
@@ -108,21 +110,37 @@ def locator_issues(locators: DataFrame, units: DataFrame) -> DataFrame:
 
 
 def resolve_locators(locators: DataFrame, units: DataFrame, texts: DataFrame) -> DataFrame:
-    """Locators completed from where their quote is: the named unit, else the whole text; confidence and warnings."""
-    from ..functions.udfs import find_excerpt
+    """Locators completed from where their quote is: the named unit, else the whole text; confidence and warnings.
+
+    A text meets only the quotes that aren't in their unit, and is folded once for each ``TOGETHER`` of these. Such a quote's
+    unit is the first that holds its start; units are listed by blocks of a text, so no quote meets all units of its text.
+    """
+    from ..functions.udfs import find_excerpt, find_excerpts
 
     u = units.select("paper_id", "unit_id", F.col("text").alias("_unit"), F.col("char_start").alias("_a"))
-    rows = locators.join(u, ["paper_id", "unit_id"], "left").join(texts.select("paper_id", F.col("text").alias("_text")), "paper_id", "left")
-    rows = rows.withColumn("_own", find_excerpt("_unit", "excerpt")).withColumn("_any", F.when(F.col("_own.start").isNull(), find_excerpt("_text", "excerpt")))
-    start = F.coalesce(F.col("_own.start") + F.col("_a"), F.col("_any.start"))
-    end = F.coalesce(F.col("_own.end") + F.col("_a"), F.col("_any.end"))
-    rows = rows.withColumns({"char_start": start.cast("int"), "char_end": end.cast("int")})
-    moved = units.select(F.col("paper_id").alias("_p"), F.col("unit_id").alias("_new"), F.col("char_start").alias("_s"), F.col("char_end").alias("_e"))
-    rows = rows.join(moved, (F.col("paper_id") == F.col("_p")) & (F.col("char_start") >= F.col("_s")) & (F.col("char_start") < F.col("_e")), "left")
-    warning = F.array_compact(F.array(F.when(F.col("char_start").isNull(), "excerpt not found"), F.when(F.col("_own.start").isNull() & F.col("char_start").isNotNull(), "unit corrected")))
+    rows = locators.join(u, ["paper_id", "unit_id"], "left").withColumn("_own", find_excerpt("_unit", "excerpt"))
+    kept = [c for c in locators.columns if c not in ("paper_id", "char_start", "char_end")]
+    own = [(F.col("_own")[x] + F.col("_a")).alias(x) for x in ("start", "end")]
+    rows = rows.select("paper_id", F.struct(*kept).alias("_row"), F.struct(*own).alias("_own")).withColumn("_asks", F.col("_own.start").isNull() & F.col("_row.excerpt").isNotNull())
+    rows = rows.withColumn("_part", F.pmod(F.xxhash64("_row.unit_id", "_row.excerpt"), F.lit(PARTS)))
+    nth = F.row_number().over(Window.partitionBy("paper_id", "_asks", "_part").orderBy("_row.unit_id", "_row.excerpt"))
+    groups = rows.withColumn("_nth", F.floor((nth - 1) / TOGETHER)).groupBy("paper_id", "_asks", "_part", "_nth").agg(F.collect_list(F.struct("_row", "_own")).alias("_rows"))
+    groups = groups.join(texts.select("paper_id", F.lit(True).alias("_asks"), F.col("text").alias("_text")), ["paper_id", "_asks"], "left")
+    asked = F.when(F.col("_asks"), F.transform("_rows", lambda r: r["_row"]["excerpt"]))
+    found = groups.select("paper_id", "_rows", find_excerpts("_text", asked).alias("_any"))
+    each = F.transform("_rows", lambda r, i: F.struct(r["_row"].alias("_row"), r["_own"].alias("_own"), F.get("_any", i).alias("_any")))
+    rows = found.select("paper_id", F.explode(each).alias("_r")).select("paper_id", "_r._row.*", "_r._own", "_r._any")
+    rows = rows.withColumns({"char_start": F.coalesce("_own.start", "_any.start").cast("int"), "char_end": F.coalesce("_own.end", "_any.end").cast("int")})
+    corrected = F.col("_own.start").isNull() & F.col("char_start").isNotNull()
+    blocks = F.sequence(F.floor(F.col("char_start") / BLOCK), F.floor((F.col("char_end") - 1) / BLOCK))
+    held = units.where("char_start < char_end").select("paper_id", F.struct("char_start", "char_end", "unit_id").alias("_u"), F.explode(blocks).alias("_block"))
+    held = held.groupBy("paper_id", "_block").agg(F.array_sort(F.collect_list("_u")).alias("_units"))
+    rows = rows.withColumn("_block", F.when(corrected, F.floor(F.col("char_start") / BLOCK))).join(held, ["paper_id", "_block"], "left")
+    new = F.get(F.filter("_units", lambda x: (x["char_start"] <= F.col("char_start")) & (F.col("char_start") < x["char_end"])), F.lit(0))["unit_id"]
+    warning = F.array_compact(F.array(F.when(F.col("char_start").isNull(), "excerpt not found"), F.when(corrected, "unit corrected")))
     confidence = F.when(F.col("char_start").isNull(), F.least(F.coalesce("confidence", F.lit(0.3)), F.lit(0.3))).otherwise(F.coalesce("confidence", F.lit(0.8)))
     kept = [c for c in locators.columns if c not in ("unit_id", "confidence", "char_start", "char_end")]
-    return rows.select(*kept, F.coalesce("_new", "unit_id").alias("unit_id"), "char_start", "char_end", confidence.alias("confidence"), warning.alias("warnings"))
+    return rows.select(*kept, F.coalesce(new, "unit_id").alias("unit_id"), "char_start", "char_end", confidence.alias("confidence"), warning.alias("warnings"))
 
 
 def link_errors(pages: DataFrame, files: DataFrame, key: str, text: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Vocabulary, families, relations, state, policy, checks, packs, files and streams on small frames."""
 
 import io
+import time
 import zipfile
 
 import numpy as np
@@ -133,6 +134,30 @@ def test_checks(spark):
     assert validation.relation_errors(rel, papers, rows).first().errors == ["target_paper_id:unknown", "difference_explanations:required"]
 
 
+def test_locators_of_a_long_text_in_time(spark):
+    """Each quote meets its unit, or its text once with others; not the whole text and all of its units for each quote."""
+    n = 1500
+    lines = spark.range(n).select(F.col("id").alias("unit_id"), F.expr("repeat(concat('word', id, ' '), 20)").alias("text")).collect()
+    begins = np.cumsum([0, *(len(r.text) + 1 for r in lines)]).tolist()
+    units = spark.createDataFrame([("p", r.unit_id, a, a + len(r.text), r.text) for r, a in zip(lines, begins)], "paper_id string, unit_id long, char_start long, char_end long, text string")
+    texts = spark.createDataFrame([("p", "\n".join(r.text for r in lines))], "paper_id string, text string")
+    named = lambda i: i if i % 3 else (i + 7) % n
+    loc = spark.createDataFrame([(i, "p", named(i), f"word{i} Word{i} " * (19 // 2), None) for i in range(n)], "locator_id long, paper_id string, unit_id long, excerpt string, confidence double")
+    began = time.monotonic()
+    out = {r.locator_id: (r.unit_id, r.char_start, r.warnings) for r in validation.resolve_locators(loc, units, texts).collect()}
+    assert time.monotonic() - began < 60
+    assert out == {i: (i, begins[i], [] if i % 3 else ["unit corrected"]) for i in range(n)}
+
+
+def test_a_locator_has_one_unit(spark):
+    text = "One two three four five. Six seven eight."
+    units = spark.createDataFrame([("p", "whole", 0, 41, text), ("p", "first", 0, 24, text[:24]), ("p", "none", 25, 25, ""), ("p", "last", 25, 41, text[25:])], "paper_id string, unit_id string, char_start int, char_end int, text string")
+    texts = spark.createDataFrame([("p", text)], "paper_id string, text string")
+    loc = spark.createDataFrame([(1, "p", "first", "two three", None), (2, "p", "first", "seven eight", None), (3, "p", None, "two three", None), (4, "p", "first", None, None), (5, "q", "first", "two", None), (6, None, None, "two", None)], "locator_id long, paper_id string, unit_id string, excerpt string, confidence double")
+    out = sorted((r.locator_id, r.unit_id, r.char_start) for r in validation.resolve_locators(loc, units, texts).collect())
+    assert out == [(1, "first", 4), (2, "whole", 29), (3, "first", 4), (4, "first", None), (5, "first", None), (6, None, None)]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.integers(500, 4000), st.lists(st.integers(1, 3000), max_size=12), st.lists(st.integers(1, 3000), max_size=6))
 def test_packs_keep_their_budget(budget, claims, counter):

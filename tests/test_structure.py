@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.functions.udfs import excerpt_span, fold, sentences
+from tessera.functions.udfs import _matchable, excerpt_span, fold, sentences
 from tessera.operators import structure as S
 from tessera.sources import html as H
 from tessera.sources.documents import front_matter, parse_text
@@ -96,6 +96,16 @@ def test_excerpts():
     assert fold("Ångström naïve ﬁ") == "Angstrom naive fi"
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(st.sampled_from("aB .,\n\t\r\u00a0\u00ad\u2019\u2014\u03a3\u03c3\u0130\u00c9\ufb01\ue000\u3000"), max_size=30))
+def test_folding_of_runs_is_that_of_characters(text):
+    folded, places = _matchable(text)
+    alone = [(c, i) for i, x in enumerate(text) for c in ("" if x == "\r" else " " if x.isspace() else _matchable(x)[0])]
+    want = [p for k, p in enumerate(alone) if p[0] != " " or (k and alone[k - 1][0] != " ")]
+    want = want[:-1] if want and want[-1][0] == " " else want
+    assert (folded, list(places)) == ("".join(c for c, _ in want), [i for _, i in want])
+
+
 def test_running_heads_and_columns(spark):
     rows = [(f"p{p}", p, 0, f"Journal of Things {p}", 1, 10.0, 20.0, 100.0, 500.0, 1000.0, 5) for p in range(4)] + [("x", 1, 1, "Body text", 1, 400.0, 420.0, 100.0, 500.0, 1000.0, 5), ("x", 2, 2, "17", 1, 980.0, 990.0, 100.0, 500.0, 1000.0, 5)]
     frame = spark.createDataFrame([("doc", *r[1:]) for r in rows], "paper_id string, page_index int, order int, text string, n_lines int, y0 double, y1 double, x0 double, x1 double, page_height double, n_pages int")
