@@ -34,13 +34,15 @@ def line_units(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     return rows.select(key, (F.col("line") + 1).cast("long").alias("ordinal"), F.col("u.s").cast("long").alias("char_start"), (F.col("u.s") + F.length("u.t")).cast("long").alias("char_end"), F.length("u.t").cast("long").alias("n_chars"), F.col("u.t").alias("text"))
 
 
-def text_quality(n_chars: Column, alnum: Column, cid: Column, replaced: Column, poor_share: Column | None = None) -> Column:
+def text_quality(n_chars: Column, alnum: Column, cid: Column | None = None, replaced: Column | None = None, poor_share: Column | None = None) -> Column:
+    """Shares are compared as whole numbers: as doubles, 55 % of 200 characters are more than 110."""
+    zero = F.lit(0)
     poor = F.lit(False) if poor_share is None else F.coalesce(poor_share >= POOR_PAGES, F.lit(False))
     some = F.lit(False) if poor_share is None else F.coalesce(poor_share > 0, F.lit(False))
     return (
         F.when(n_chars < 200, "empty")
-        .when(poor | (cid > 20) | (replaced > n_chars * 0.01) | (alnum < n_chars * 0.55), "poor")
-        .when(some | (alnum < n_chars * 0.65), "fair")
+        .when(poor | ((zero if cid is None else cid) > 20) | ((zero if replaced is None else replaced) * 100 > n_chars) | (alnum * 100 < n_chars * 55), "poor")
+        .when(some | (alnum * 100 < n_chars * 65), "fair")
         .otherwise("good")
     )
 

@@ -40,6 +40,17 @@ def test_runs(spark, sf_dir, name):
     assert df.columns and df.count() >= 0
 
 
+@pytest.mark.parametrize("name", ["doc_quality"])
+def test_quality_of_odd_texts(spark, tmp_path, name):
+    texts = [None, "", "a" * 110 + "." * 90, "a" * 109 + "." * 91, "a" * 451 + "." * 369, "a" * 130 + "." * 70, "x (cid:1) " * 40, "a" * 200 + "\ufffd" * 20, "\u00e9\U0001d400" * 200, "a\nb\x00" * 60]
+    rows = [(i, x, "en" if i % 2 else None) for i, x in enumerate(texts * 2)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    df, cursor = catalog.QUERIES[name](spark, str(tmp_path)), con.execute(catalog.SQL[name])
+    assert rows_of(df.collect(), df.columns) == rows_of(cursor.fetchall(), [c[0] for c in cursor.description])
+
+
 def test_a_changed_result_is_noticed(spark, duck, sf_dir):
     df = catalog.QUERIES["doc_quality"](spark, sf_dir).selectExpr("doc_id", "n_chars + 1 as n_chars", "n_alnum", "text_quality")
     cursor = duck.execute(catalog.SQL["doc_quality"])

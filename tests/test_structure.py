@@ -125,6 +125,15 @@ def test_fonts_labels_and_quality(spark):
     assert {r.doc_id: r.text_quality for r in S.quality(texts).collect()} == {1: "good", 2: "empty", 3: "poor", 4: "poor", 5: "empty"}
 
 
+def test_shares_of_letters_are_exact(spark):
+    sizes = [(n, k) for p in (55, 65) for n in range(200, 1000, 20) for k in (n * p // 100 - 1, n * p // 100)]
+    frame = spark.createDataFrame([(i, "a" * k + "." * (n - k)) for i, (n, k) in enumerate(sizes)], "doc_id long, text string")
+    want = {i: ("poor" if k * 100 < n * 55 else "fair" if k * 100 < n * 65 else "good") for i, (n, k) in enumerate(sizes)}
+    assert {r.doc_id: r.text_quality for r in S.quality(frame).collect()} == want
+    marked = spark.createDataFrame([(k, "a" * (700 - k) + "\ufffd" * k) for k in (7, 8)], "doc_id long, text string")
+    assert {r.doc_id: r.text_quality for r in S.quality(marked).collect()} == {7: "good", 8: "poor"}
+
+
 def test_text_expressions(spark):
     one = spark.createDataFrame([(" 2.1  Materials and Methods: ", "see Table S2. Counts", "doi:10.1000/AbC.12).", "Doe, Jane", "arXiv: 2101.12345v2", "co\u00adop inter-\nnal\x05 k-mer\u00a0 text\ue001 ")], "h string, c string, d string, a string, x string, t string")
     r = one.select(
