@@ -41,6 +41,22 @@ def test_query(spark, sf_dir):
     hold(op10_repeated_passages(spark, sf_dir).collect(), rows, 400)
 
 
+def test_passages_go_by_bytes_not_words(spark, tmp_path):
+    rng = np.random.default_rng(9)
+    letters = lambda n: "".join(rng.choice(list("abcdefgh"), n))
+    passage = lambda n: " ".join([letters(6) for _ in range(56)] + [letters(n - 56 * 7)])
+    texts, want = [], []
+    for n, near, gone in ((399, "\n", 0), (400, "\n", 400), (398, " ", 400), (397, " ", 0)):  # equal spaces beside them count
+        p = passage(n)
+        assert (len(p), len(p.split())) == (n, 57)
+        texts += [f"one {p} one", f"two{near}{p}{near}two"]
+        want += [(gone, int(gone > 0))] * 2
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(op10_repeated_passages(spark, str(tmp_path)).collect())
+    assert [(r.n_removed, r.n_spans) for r in got] == want
+    assert [r.n_bytes for r in got] == [len(x) for x in texts]
+
+
 def test_odd_rows(spark):
     rng = np.random.default_rng(2)
     word = lambda n: "".join(rng.choice(list("abcdefgh é"), n))
