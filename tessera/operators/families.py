@@ -10,31 +10,58 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 SIMILAR, SUPPLEMENT_FLOOR = 0.82, 0.18
+#: Hash ranges in which values are numbered; keys of a class that meet others at a time.
+RANGES, BLOCK = 4096, 512
+
+
+def _numbered(rows: DataFrame, by: str) -> DataFrame:
+    """rows and ``number``, which is below 2^32: the place of a distinct value in its hash range, so no task sees all values,
+    and whatever part of the plan is run again gives the same numbers. Good for 2^20 values in each of 4096 ranges."""
+    return rows.withColumn("range", F.pmod(F.xxhash64(by), F.lit(RANGES))).withColumn("number", F.col("range") * (1 << 20) + F.row_number().over(Window.partitionBy("range").orderBy(by)) - 1).drop("range")
 
 
 def similar_pairs(rows: DataFrame, key: str, tokens: str, threshold: float) -> DataFrame:
     """(a, b, similarity) of all pairs a < b with a token Jaccard of at least ``threshold``, exactly.
 
-    Prefix filter: tokens in order of rarity; a pair that is similar enough shares a token among the first
-    n - ceil(threshold * n) + 1 of either side, so only those are joined, by token. Equal token sets are joined once, as
-    a class, and only the pairs of classes that pass are expanded.
+    Equal token sets are compared once, as a class. Prefix filter: tokens in order of rarity; a pair that is similar enough
+    shares a token among the first n - ceil(threshold * n) + 1 of either side, so only those are joined, by token, and the
+    first token in common reports the pair. What is left behind it must be able to reach the threshold. Tokens are numbers
+    here. The pairs of members are the product of blocks of at most some ``BLOCK`` keys, expanded behind the last exchange:
+    what is shuffled of a class grows with its members, and with the pairs only by a row for ``BLOCK`` squared of them.
     """
-    sets = rows.where(F.size(tokens) > 0).select(key, F.sort_array(F.array_distinct(tokens)).alias("s"))
-    frequency = sets.select(F.explode("s").alias("t")).groupBy("t").agg(F.count("*").alias("df"))
-    classes = sets.groupBy("s").agg(F.min(key).alias("rep"))
-    ordered = classes.select("rep", "s", F.explode("s").alias("t")).join(frequency, "t")
-    ordered = ordered.withColumn("n", F.size("s")).withColumn("at", F.row_number().over(Window.partitionBy("rep").orderBy("df", "t")))
-    first = ordered.where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).select("rep", "s", "n", "t")
+    spark = rows.sparkSession
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sets = rows.where(F.col(key).isNotNull()).select(F.col(key).alias("k"), F.explode(F.array(tokens)).alias("s"))  # a filter isn't pushed below, so tokens are made once
+    sets = sets.where(F.col("s").isNotNull() & (F.size("s") > 0)).select("k", F.sort_array(F.array_distinct("s")).alias("s"))
+    classes = sets.groupBy("s").agg(F.count("*").alias("members"))
+    # Outer, though no set is empty: for explode() Spark adds filters, and then the classes are made and exchanged anew for each use.
+    frequency = classes.select(F.explode_outer("s").alias("t"), "members").groupBy("t").agg(F.sum("members").alias("df"))
+    rank = _numbered(frequency, "t").select("t", (F.col("df") * (1 << 32) + F.col("number")).alias("rank"))
+    classes = _numbered(classes, "s").withColumnRenamed("number", "c")
+    blocks_of = F.ceil(F.col("members") / BLOCK).cast("int")
+
+    n = F.size("ids")
+    ordered = classes.select("c", blocks_of.alias("blocks"), F.explode_outer("s").alias("t")).join(rank, "t").groupBy("c", "blocks").agg(F.sort_array(F.collect_list("rank")).alias("ranks"))
+    ordered = ordered.select("c", "blocks", F.transform("ranks", lambda r: (F.pmod(r, F.lit(1 << 32)) - (1 << 31)).cast("int")).alias("ids"))
+    first = ordered.select("c", "blocks", "ids", F.posexplode(F.slice("ids", 1, (n - F.ceil(n * threshold - 1e-9) + 1).cast("int"))).alias("at", "id"))
     a, b = first.alias("a"), first.alias("b")
-    near = (F.col("a.t") == F.col("b.t")) & (F.col("a.rep") < F.col("b.rep"))
-    near &= (F.col("b.n") >= F.col("a.n") * threshold - 1e-9) & (F.col("a.n") >= F.col("b.n") * threshold - 1e-9)
-    pairs = a.join(b, near).select(F.col("a.rep").alias("x"), F.col("b.rep").alias("y"), T.jaccard(F.col("a.s"), F.col("b.s")).alias("similarity"))
-    pairs = pairs.where(F.col("similarity") >= threshold).distinct()
-    own = sets.join(classes, "s").select(key, "rep")
-    left, right = own.select(F.col(key).alias("k1"), F.col("rep").alias("x")), own.select(F.col(key).alias("k2"), F.col("rep").alias("y"))
-    crossed = pairs.join(left, "x").join(right, "y").select("k1", "k2", "similarity")
-    inside = left.join(right.withColumnRenamed("y", "x"), "x").where("k1 < k2").select("k1", "k2", F.lit(1.0).alias("similarity"))
-    return crossed.union(inside).select(F.least("k1", "k2").alias("a"), F.greatest("k1", "k2").alias("b"), "similarity")
+    m, n = F.size("a.ids"), F.size("b.ids")
+    near = (F.col("a.id") == F.col("b.id")) & (F.col("a.c") < F.col("b.c")) & (n >= m * threshold - 1e-9) & (m >= n * threshold - 1e-9)
+    near &= F.least(m - F.col("a.at"), n - F.col("b.at")) >= (m + n) * (threshold / (1 + threshold)) - 1e-6
+    shared = a.join(b, near).select(F.col("a.c").alias("x"), F.col("a.blocks").alias("bx"), F.col("b.c").alias("y"), F.col("b.blocks").alias("by"), "a.id", (m + n).alias("both"), F.explode(F.array(F.array_intersect("a.ids", "b.ids"))).alias("i"))
+    shared = shared.where(F.col("i")[0] == F.col("id")).withColumn("similarity", F.size("i") / (F.col("both") - F.size("i"))).where(F.col("similarity") >= threshold)
+    pairs = shared.select("x", "bx", "y", "by", "similarity")
+    inside = classes.where("members > 1").select(F.col("c").alias("x"), blocks_of.alias("bx"), F.col("c").alias("y"), blocks_of.alias("by"), F.lit(1.0).alias("similarity"))
+
+    every = pairs.union(inside).select("x", "y", "similarity", "by", F.explode(F.sequence(F.lit(0), F.col("bx") - 1)).alias("i"))
+    every = every.select("x", "i", "y", F.explode(F.sequence(F.when(F.col("x") == F.col("y"), F.col("i")).otherwise(F.lit(0)), F.col("by") - 1)).alias("j"), "similarity")
+    blocks = sets.join(classes, "s").select("c", F.pmod(F.xxhash64("k"), blocks_of).cast("int").alias("block"), "k").groupBy("c", "block").agg(F.collect_list("k").alias("keys"))
+    left, right = blocks.toDF("x", "i", "left"), blocks.toDF("y", "j", "right")
+    # By number: Spark would put what is few bytes, but many pairs, into few tasks.
+    met = every.join(left, ["x", "i"]).repartition(tasks, "y", "j").join(right.repartition(tasks, "y", "j"), ["y", "j"])
+    met = met.select("similarity", ((F.col("x") == F.col("y")) & (F.col("i") == F.col("j"))).alias("same"), F.explode("left").alias("k1"), "right")
+    met = met.select("similarity", "same", "k1", F.explode("right").alias("k2")).where((F.col("k1") < F.col("k2")) | (~F.col("same") & (F.col("k1") > F.col("k2"))))
+    return met.select(F.least("k1", "k2").alias("a"), F.greatest("k1", "k2").alias("b"), "similarity")
 
 
 def best_match(rows: DataFrame, candidates: DataFrame, key: str, candidate: str, floor: float = SUPPLEMENT_FLOOR) -> DataFrame:

@@ -52,6 +52,37 @@ def test_similar_pairs_equal_the_quadratic_definition(spark, threshold):
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
 
 
+@pytest.mark.parametrize("block", [2, 512])
+def test_similar_pairs_of_odd_and_many_keys(spark, monkeypatch, block):
+    monkeypatch.setattr(families, "BLOCK", block)
+    rng = np.random.default_rng(4)
+    kinds = [["a", "b", "c", "d", "e", "f"], ["f", "e", "d", "c", "b", "a", "a"], ["a", "b", "c", "d", "e", "g"], ["a", "b", "c", "d", "e", "f", "h"], ["x"], [], None, ["", "a,b"], ["a", ",b"]]
+    rows = [(int(rng.integers(0, 60)) if i % 9 else None, kinds[int(rng.integers(0, len(kinds)))]) for i in range(90)]
+    want = []
+    for k, s in rows:
+        for j, t in rows:
+            if k is not None and j is not None and k < j and s and t and len(set(s) & set(t)) / len(set(s) | set(t)) >= 0.7:
+                want.append((k, j, len(set(s) & set(t)) / len(set(s) | set(t))))
+    for cast in ("long", "string"):
+        given = spark.createDataFrame([(None if k is None else f"{k:03}" if cast == "string" else k, s) for k, s in rows], f"k {cast}, s array<string>")
+        got = [(int(r.a), int(r.b), r.similarity) for r in families.similar_pairs(given, "k", "s", 0.7).collect()]
+        assert sorted(got) == sorted(want)
+
+
+def test_similar_pairs_shuffle_little_of_long_sets(spark):
+    rng = np.random.default_rng(5)
+    rows = spark.createDataFrame([(i, [f"word{x:06}" for x in rng.integers(0, 10**5, 80)]) for i in range(3000)], "k long, s array<string>").localCheckpoint()
+    sc = spark.sparkContext._jsc.sc()
+
+    def written():
+        sc.listenerBus().waitUntilEmpty(30_000)
+        return sc.statusStore().executorList(False).apply(0).totalShuffleWrite()
+
+    before = written()
+    assert families.similar_pairs(rows, "k", "s", 0.82).count() == 0
+    assert written() - before < 6 * 3000 * 80 * 10  # six times the tokens' bytes; was some forty times, each token with its set
+
+
 def test_families(spark):
     rows = [
         ("p1", "Fast assembly of long noisy reads", "alpha_2019", "research_article", "published", "10.1/a"), ("p2", "Fast assembly of long noisy reads", "alpha_pre", "research_article", "preprint", None),
