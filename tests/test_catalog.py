@@ -1,9 +1,11 @@
 """Every query with SQL must give the same rows as DuckDB, and a changed result must be noticed."""
 
 import os
+import time
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.plans import catalog
 
@@ -51,6 +53,37 @@ def test_quality_of_odd_texts(spark, tmp_path, name):
     assert rows_of(df.collect(), df.columns) == rows_of(cursor.fetchall(), [c[0] for c in cursor.description])
 
 
+ODD = [
+    None, "", "the", "THE der", "other there lathe", "other\nthe\n", "the\n", "\u00e9the and\u00e9", "\U0001d400the\U0001d400", "x_the_y -der- et.", "thethe the1 1the", "thethe the", "und\x00", "le le", "licence, Lizenz", "license\r\n",
+    "unlicensed licenses", "et al; AND", "(und)et[le]", "the der le and und et license licence lizenz",
+]
+
+
+@pytest.mark.parametrize("name", ["synonym_expansion_pairs", "whole_word_mentions"])
+def test_whole_words_of_odd_texts(spark, tmp_path, name):
+    spark.createDataFrame(list(enumerate(ODD)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    df, cursor = catalog.QUERIES[name](spark, str(tmp_path)), con.execute(catalog.SQL[name])
+    assert rows_of(df.collect(), df.columns) == rows_of(cursor.fetchall(), [c[0] for c in cursor.description])
+
+
+def test_nine_names_take_less_than_one_pattern_that_begins_anywhere(spark, tmp_path):
+    text = "wither undern landy etler licenses " * 30000
+    spark.createDataFrame([(i, text) for i in range(8)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+
+    def seconds(df):
+        took = []
+        for _ in range(3):
+            began = time.time()
+            df.write.format("noop").mode("overwrite").save()
+            took.append(time.time() - began)
+        return min(took)
+
+    one = spark.read.parquet(f"{tmp_path}/documents.parquet").select(F.lower("text").rlike("(?:^|[^A-Za-z0-9])the(?:[^A-Za-z0-9]|$)"))
+    assert seconds(catalog.QUERIES["synonym_expansion_pairs"](spark, str(tmp_path))) < 2 * seconds(one)  # was nine times and more
+
+
 def test_a_changed_result_is_noticed(spark, duck, sf_dir):
     df = catalog.QUERIES["doc_quality"](spark, sf_dir).selectExpr("doc_id", "n_chars + 1 as n_chars", "n_alnum", "text_quality")
     cursor = duck.execute(catalog.SQL["doc_quality"])
